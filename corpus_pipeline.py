@@ -1,9 +1,65 @@
-"""Corpus pipeline: stages over ``documents``."""
+"""Corpus pipeline: quality, exact copies, near copies, source weights, tokens.
 
-STAGES = []
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a
+DataFrame, which is written as Parquet and read again as the next one's ``docs``.  All but
+the last return the columns of ``documents``; the last one the encoding of what is left.
+
+1. ``quality``: documents whose score is below the classifier's threshold go.
+2. ``exact``: of texts equal up to white space the one with the smallest doc_id stays.
+3. ``near``: of documents connected by similarities of 0.8 or more (shingles of five words)
+   the one with the smallest doc_id stays.
+4. ``mix``: each source's seeded prefix of tokens under hierarchical budgets of 90 % of all
+   tokens; a document of which any token is used stays whole.
+5. ``encode``: SentencePiece ids, decoded back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestone.llm.common import rows_with_ids, settle, table
+from lodestone.llm.exact import exact_duplicates
+from lodestone.llm.minhash import MinHashParams, near_duplicates
+from lodestone.llm.mixing import MixingParams, mix_sources
+from lodestone.llm.quality import quality_scores
+from lodestone.llm.tokens import encode_decode
+
+
+def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """``docs`` without the documents of ``dropped``; rows with a null doc_id stay."""
+    gone = settle(dropped.select("doc_id").filter("doc_id is not null").distinct(), name)
+    return rows_with_ids(docs, gone, "doc_id", "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scores = quality_scores(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, scores.filter("predicted = 0"), "rejected")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, exact_duplicates(docs).filter("not kept"), "copies")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, near_duplicates(docs, MinHashParams(shingle=5, percent=80)).filter("not kept"), "near-copies")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, mix_sources(docs, MixingParams(share=0.9)).filter("not kept"), "over-budget")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_decode(docs)
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("encode", encode)]
+
+#: None: classifier, similarity classes and segmentation have no SQL form; tests/llm holds the brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,12 +13,13 @@ Plan
    full shingle sets, skips what is connected already, and emits links only.
 5. Large-star / small-star over the links.
 
-With 25 bands of 5 rows a pair at similarity 0.85 misses every band with probability
-4e-7, and one at 0.9 with 2e-10.
+At a threshold of 0.85 this makes 25 bands of 5 rows: a pair at 0.85 misses every band with
+probability 4e-7, and one at 0.9 with 2e-10.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,15 +36,20 @@ from .words import Words, batches, mix, odd_weights, windows, words_of
 
 @dataclass(frozen=True)
 class MinHashParams:
-    """percent: the least similarity, in hundredths; shingle: words in a shingle."""
+    """percent: the least similarity, in hundredths; shingle: words in a shingle; miss: how likely
+    a pair at the threshold may miss every band (the number of bands follows from it)."""
 
     shingle: int = 5
     percent: int = 80
-    bands: int = 25
     rows: int = 5
+    miss: float = 5e-7
     block: int = 256
     seed: int = 6
 
+    @property
+    def bands(self) -> int:
+        return math.ceil(math.log(self.miss) / math.log1p(-((self.percent / 100) ** self.rows)))
+
     @property
     def hashes(self) -> int:
         return self.bands * self.rows
@@ -130,19 +136,6 @@ def _band(params: MinHashParams):
     return keys
 
 
-class Joined:
-    """Union-find over the rows of one group."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-
 def links_in(ids: np.ndarray, signs: np.ndarray, sets: list[np.ndarray], params: MinHashParams):
     """A spanning forest of the true links in one group: signatures first, then full sets."""
     n = len(ids)

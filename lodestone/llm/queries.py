@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact import exact_duplicates
+from .licenses import document_path, scan_licenses
 from .media import media_columns
 from .minhash import MinHashParams, near_duplicates
 from .mixing import mix_sources
@@ -30,6 +32,11 @@ FROM n
 """
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that names a licence counts as a licence file of its directory."""
+    return scan_licenses(table(spark, sf_dir, "documents"), path=document_path(), licence_file=F.lit(True))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents")).drop("key_ranges")
 
@@ -64,6 +71,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_media_columns": op3_media_columns,
     "op4_mix_sources": op4_mix_sources,
     "op5_token_counts": op5_token_counts,
