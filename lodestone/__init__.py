@@ -1,0 +1,3 @@
+"""Lodestone: ranked, typo-tolerant record search as Spark plans."""
+
+__version__ = "0.1.0"
