@@ -14,7 +14,7 @@ from .functions.bitap import Found, ScanOptions, match_all
 from .functions.text import fold_literal
 from .operators import tokens
 from .operators.score import HIT, hits_of, passes_gates, row_score, shown_matches
-from .operators.values import dense_index, long_form, with_subs
+from .operators.values import dense_index, fold_subs, long_form, with_subs
 from .options import FEATURES, SearchOptions
 from .plans.keys import KeySet
 from .plans.logical import AND, Branch, Leaf, parse_logical
@@ -88,8 +88,9 @@ class SearchEngine:
         """The collection with ``ref_index`` and ``subs``."""
         if self._rows is None:
             if self._given is not None:
-                values = self._given.rows.select(F.col("ref_index").alias("__ref"), "subs")
-                self._rows = self.docs.join(values, F.col("ref_index") == F.col("__ref")).drop("__ref")
+                values = self._given.rows.select(F.col("ref_index").alias("__ref"), F.col("subs").alias("__raw"))
+                joined = self.docs.join(values, F.col("ref_index") == F.col("__ref")).drop("__ref")
+                self._rows = fold_subs(joined, self.options, norm=lambda x: x["norm"])  # the index may be folded otherwise
             else:
                 self._rows = with_subs(self.docs, self.keys, self.text, self.options)
         return self._rows

@@ -9,6 +9,10 @@ from ..options import SearchOptions
 from ..plans.matchers import tokens_of
 
 
+#: Up to so many query terms are counted as columns of one aggregate, more by a join with the terms.
+MOST_COLUMNS = 40
+
+
 def term_rows(rows: DataFrame, options: SearchOptions) -> DataFrame:
     """Distinct terms of each value: ``ref_index, terms``; values without terms are left out."""
     each = rows.select("ref_index", F.explode("subs.u").alias("u"))
@@ -22,9 +26,14 @@ def document_frequencies(rows: DataFrame, options: SearchOptions) -> DataFrame:
 
 
 def statistics(rows: DataFrame, options: SearchOptions, terms: list[str]) -> tuple[int, dict[str, int]]:
-    """Number of values with any term, and of those that hold each of ``terms``; one row reaches the driver."""
+    """Number of values with any term, and of those that hold each of ``terms``; the driver gets a number per query term."""
     wanted = sorted(set(terms))
     held = term_rows(rows, options)
+    if len(wanted) > MOST_COLUMNS:
+        spark = rows.sparkSession
+        asked = spark.createDataFrame([(t,) for t in wanted], "term string")
+        found = held.select(F.explode("terms").alias("term")).join(F.broadcast(asked), "term").groupBy("term").agg(F.count("*").alias("n"))
+        return held.count(), {r.term: r.n for r in found.collect()}
     counts = held.agg(F.count("*").alias("n"), *(F.count_if(F.array_contains("terms", t)).alias(f"t{k}") for k, t in enumerate(wanted))).first()
     return counts.n, {t: counts[f"t{k}"] for k, t in enumerate(wanted)}
 
