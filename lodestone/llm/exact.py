@@ -60,7 +60,7 @@ def fold_into_state(spark: SparkSession, prints: str, state: str, files_per_batc
     schema = spark.read.parquet(prints).schema
     with _settings(spark, _ROCKS):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(prints)
-        held = stream.groupBy("digest").agg(F.min(F.struct("id", "file")).alias("least"), F.count("*").alias("n"))
+        held = stream.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "file")).alias("least"), F.count("*").alias("n"))
         query = held.writeStream.outputMode("update").format("noop").option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()
         rows = spark.read.format("statestore").load(state)
@@ -84,8 +84,8 @@ def exact_duplicates(
     Texts are equal if they are after each run of ``[\\x20\\x09-\\x0D]`` is replaced by one space;
     null counts as empty.  Of equal texts the row with the smallest id stays.  Repeated rows
     with one id are one document said twice: each is counted and marked alike.  Null ids come
-    last; a group of nulls only has a null keep_id and all its rows are kept.  Other columns
-    are ignored.  ``digest`` maps the normalised text to a binary key.  ``state`` is the folder
+    last; a group of nulls only has a null keep_id and all its rows are kept; rows without an id
+    cannot be looked up again, so their digest decides.  Other columns are ignored.  ``digest`` maps the normalised text to a binary key.  ``state`` is the folder
     of an earlier call's state to fold these rows into (a new one if None).
     """
     spark = docs.sparkSession
