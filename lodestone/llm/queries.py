@@ -1,4 +1,4 @@
-"""Queries ``opN_<name>`` over the driver's tables, and the SQL of those that SQL can express."""
+"""Queries ``opN_<name>`` over the driver's tables; :mod:`.oracles` has the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from .licenses import document_path, scan_licenses
 from .media import media_columns
 from .minhash import MinHashParams, near_duplicates
 from .mixing import mix_sources
+from .oracles import ORACLES
 from .quality import quality_scores
 from .substrings import SubstringParams, remove_repeats
 from .tokens import count_tokens, encode_decode
@@ -21,17 +22,6 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-OP1_SQL = r"""
-WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
-SELECT doc_id,
-       min(doc_id) OVER (PARTITION BY t) AS keep_id,
-       count(*) OVER (PARTITION BY t) AS group_size,
-       doc_id = min(doc_id) OVER (PARTITION BY t) AS kept,
-       sha256(t) AS text_sha256
-FROM n
-"""
-
-
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that names a licence counts as a licence file of its directory."""
     return scan_licenses(table(spark, sf_dir, "documents"), path=document_path(), licence_file=F.lit(True))
@@ -82,4 +72,4 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
+__all__ = ["ORACLES", "QUERIES"]
