@@ -231,6 +231,29 @@ class SearchEngine:
         return rows.select(*out)
 
 
+def fuzzy_search(df: DataFrame, query: str | Mapping[str, Any], limit: int = -1, ref_index: str | None = None, text: str | None = None, **options: Any) -> DataFrame:
+    """One search over ``df`` as a DataFrame function; see :class:`SearchEngine`."""
+    return SearchEngine(df, options, ref_index=ref_index, text=text).search(query, limit)
+
+
+def ordered_on_driver(found: DataFrame, comparator: Callable[[Any, Any], float], most: int = 100_000) -> list:
+    """Rows of a result sorted by a Python comparator (ties by ``ref_index``).
+
+    A comparator cannot be distributed: the rows are collected, and more than ``most`` are refused.
+    """
+    from functools import cmp_to_key
+
+    rows = found.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows for a Python comparator; give sort columns instead")
+
+    def both(a, b):
+        order = comparator(a, b) or (a.ref_index - b.ref_index)
+        return (order > 0) - (order < 0)
+
+    return sorted(rows, key=cmp_to_key(both))
+
+
 def _probed(rows: DataFrame, probes: Probes) -> DataFrame:
     """Add ``__probe``: results of all fuzzy patterns for all values of the row."""
     if not probes.patterns:

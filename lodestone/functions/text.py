@@ -167,3 +167,10 @@ def highlight(text: Column, ranges: Column, before: str = "<b>", after: str = "<
         ),
     )
     return F.concat(marked["out"], F.substring(text, marked["at"] + 1, F.length(text)))
+
+
+def normalised_words(text: Column, stopwords: list[str] = ()) -> Column:
+    """Words of letters, digits, ``_`` and dots, lower-cased, without stop words, joined by spaces."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_.]+"), F.lit(0))
+    kept = F.filter(words, lambda w: ~w.isin(*stopwords)) if stopwords else words
+    return F.array_join(kept, " ")

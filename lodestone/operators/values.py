@@ -19,9 +19,12 @@ ROW = "__row"  # the collection's own columns, packed
 
 
 def dense_index(df: DataFrame, *order: Column | str, name: str = "ref_index") -> DataFrame:
-    """Number rows 0.. in the given order: sorted by ranges, each partition offset by the rows before it."""
+    """Number rows 0.. in the given order: sorted by ranges, each partition offset by the rows before it.
+
+    The sorted rows are persisted: counting and numbering must see the same partitions.
+    """
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    marked = spread.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    marked = spread.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()).persist()
     counts = marked.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__m").alias("__first"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     offsets = counts.select("__p", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

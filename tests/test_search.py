@@ -379,3 +379,28 @@ def test_empty_collection(spark):
     assert found(engine.search("a")) == [] and engine.size() == 0
     engine = SearchEngine(spark.createDataFrame([], "ref_index long, text string"), keys=["text"], use_token_search=True)
     assert found(engine.search("a")) == []
+
+
+def test_sql_functions(spark):
+    from lodestone.functions.sql import register_functions
+    from lodestone.functions.text import normalised_words
+
+    register_functions(spark, threshold=0.4)
+    df = spark.createDataFrame([("hello", "helo wrld"), ("hello", "xyz"), (None, "a"), ("a", None), ("", "a")], "p string, t string")
+    df.createOrReplaceTempView("pairs")
+    got = spark.sql("SELECT fuzzy_match(p, t) AS m, fuzzy_score(p, t) AS s FROM pairs").collect()
+    assert [r.m for r in got] == [True, False, False, False, False]
+    assert got[0].s == pytest.approx(match("hello", "helo wrld", {"threshold": 0.4}).score) and got[1].s is None
+    one = spark.sql("SELECT 'The disk v1.2 is FULL!' AS t").select(normalised_words(F.col("t"), ["the", "is"])).first()[0]
+    assert one == "disk v1.2 full"
+
+
+def test_functional_forms(spark):
+    from lodestone import fuzzy_search, ordered_on_driver
+
+    docs = strings(spark, ["apple", "apply", "ape"])
+    assert found(fuzzy_search(docs, "apple", 1, text="text")) == [0]
+    rows = ordered_on_driver(fuzzy_search(docs, "appl", text="text", include_score=True), lambda a, b: len(a.text) - len(b.text))
+    assert [r.ref_index for r in rows][0] == 2
+    with pytest.raises(ValueError):
+        ordered_on_driver(fuzzy_search(docs, "appl", text="text"), lambda a, b: 0, most=1)
