@@ -177,8 +177,8 @@ class SearchEngine:
             holds = lambda s: reduce(lambda a, b: a | b, (s["u"].contains(p) for p in matcher.pieces))
             rows = rows.filter(F.exists("subs", holds))
         rows = _probed(rows, probes)
-        rows = rows.withColumn("__hits", hits_of(matcher, F.col("subs"), F.col("__probe")))
-        rows = rows.filter(passes_gates(matcher, F.col("__hits"), self._active, self.strings))
+        hits = hits_of(matcher, F.col("subs"), F.col("__probe"))
+        rows = _kept(rows, hits, lambda h: passes_gates(matcher, h, self._active, self.strings))
         return rows.withColumn("score", row_score(F.col("__hits"), self._active, self.options))
 
     def _logical(self, query: Mapping[str, Any]) -> DataFrame:
@@ -198,21 +198,20 @@ class SearchEngine:
             own = none if key is not None and at is None else hits_of(matcher, F.col("subs"), F.col("__probe"), at)
             rows = rows.withColumn(f"__h{k}", own)
 
-        def combined(node) -> tuple[Column, Column]:
+        def combined(node) -> Column:
+            """Hits of a subtree; none if it does not match, as whatever matches has a hit."""
             if isinstance(node, int):
-                return F.size(f"__h{node}") > 0, F.col(f"__h{node}")
+                return F.col(f"__h{node}")
             parts = [combined(c) for c in node.children]
             if not parts:
-                return F.lit(False), none
-            hits = F.concat(*(F.when(c, h).otherwise(none) for c, h in parts))
+                return none
+            hits = F.concat(*parts)
             if node.operator == AND:
-                both = reduce(lambda a, b: a & b, (c for c, _ in parts))
-                return both, F.when(both, hits).otherwise(none)
-            return reduce(lambda a, b: a | b, (c for c, _ in parts)), hits
+                hits = F.when(reduce(lambda a, b: a & b, (F.size(p) > 0 for p in parts)), hits).otherwise(none)
+            return hits
 
-        ok, hits = combined(plan)
-        rows = rows.filter(ok).withColumn("__hits", hits).drop(*(f"__h{k}" for k in range(len(leaves))))
-        return rows.withColumn("score", row_score(F.col("__hits"), self._active, self.options))
+        rows = _kept(rows, combined(plan), lambda h: F.size(h) > 0)
+        return rows.drop(*(f"__h{k}" for k in range(len(leaves)))).withColumn("score", row_score(F.col("__hits"), self._active, self.options))
 
     def _show(self, rows: DataFrame, limit: int, scored: bool = True) -> DataFrame:
         o = self.options
@@ -231,6 +230,12 @@ class SearchEngine:
         return rows.select(*out)
 
 
+def _kept(rows: DataFrame, hits: Column, passes: Callable[[Column], Column]) -> DataFrame:
+    """Rows whose hits pass, with ``__hits``.  As a generator, since Spark would push a filter below
+    the projection and so work out the hits twice."""
+    return rows.withColumn("__hits", F.explode(F.filter(F.array(hits), passes)))
+
+
 def fuzzy_search(df: DataFrame, query: str | Mapping[str, Any], limit: int = -1, ref_index: str | None = None, text: str | None = None, **options: Any) -> DataFrame:
     """One search over ``df`` as a DataFrame function; see :class:`SearchEngine`."""
     return SearchEngine(df, options, ref_index=ref_index, text=text).search(query, limit)

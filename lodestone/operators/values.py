@@ -59,18 +59,16 @@ def with_subs(df: DataFrame, keys: KeySet, text: str | None, options: SearchOpti
 
 def fold_subs(df: DataFrame, options: SearchOptions, norm) -> DataFrame:
     """``subs`` of ``__raw``: the texts with their folded forms and norms."""
-    df = df.withColumn("__u", folded(F.transform("__raw", lambda x: x["v"]), options))
-    subs = F.transform(
-        "__raw",
-        lambda x, i: F.struct(
-            x["key_idx"].alias("key_idx"),
-            x["arr_idx"].alias("arr_idx"),
-            x["v"].alias("v"),
-            F.get("__u", i).alias("u"),
-            norm(x).alias("norm"),
-        ),
-    )
-    return df.withColumn("subs", subs.cast(SUBS)).drop("__raw", "__u")
+    by_udf = options.ignore_diacritics  # one Arrow call for the row's texts; else folding stays in the lambda
+    if by_udf:
+        df = df.withColumn("__u", folded(F.transform("__raw", lambda x: x["v"]), options))
+
+    def one(x: Column, i: Column) -> Column:
+        u = F.get("__u", i) if by_udf else x["v"] if options.is_case_sensitive else F.lower(x["v"])
+        fields = {"key_idx": x["key_idx"], "arr_idx": x["arr_idx"], "v": x["v"], "u": u, "norm": norm(x)}
+        return F.struct(*(c.alias(n) for n, c in fields.items()))
+
+    return df.withColumn("subs", F.transform("__raw", one).cast(SUBS)).drop("__raw", "__u")
 
 
 def long_form(df: DataFrame, keys: KeySet) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import SearchEngine
-from .functions.text import highlight, without_accents
+from .functions.text import highlight, merge_ranges, without_accents
 from .operators.batch import fuzzy_join, search_many, triage, without_partner
 from .operators.values import dense_index
 from .plans.keys import KeySet
@@ -395,6 +395,19 @@ def highlight_ranges(spark, sf_dir):
     return found.select("ref_index", highlight(first["value"], first["indices"]).alias("marked"))
 
 
+@query("""
+WITH r AS (SELECT p_partkey AS ref_index, p_size % 5 AS a, p_size % 5 + 2 AS b, p_size % 7 + 1 AS c, p_size % 7 + 2 AS d FROM part)
+SELECT ref_index, CASE WHEN c <= b + 1 AND a <= d + 1 THEN least(a, c) || '-' || greatest(b, d)
+  WHEN a < c THEN a || '-' || b || ',' || c || '-' || d ELSE c || '-' || d || ',' || a || '-' || b END AS merged FROM r
+""")
+def merged_ranges(spark, sf_dir):
+    size = F.col("p_size")
+    pair = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    ranges = merge_ranges(F.array(pair(size % 5, size % 5 + 2), pair(size % 7 + 1, size % 7 + 2)))
+    shown = F.array_join(F.transform(ranges, lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string"))), ",")
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ref_index"), shown.alias("merged"))
+
+
 # Mutation
 
 
