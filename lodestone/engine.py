@@ -33,6 +33,32 @@ class Index:
     def fields(self) -> DataFrame:
         return long_form(self.rows, self.keys)
 
+    def values_at(self, position: int, key_id: str) -> DataFrame:
+        """The values of one row under a key."""
+        return self.fields().filter((F.col("ref_index") == position) & (F.col("key_id") == key_id))
+
+    def add(self, df: DataFrame, options: SearchOptions | Mapping[str, Any] | None = None, text: str | None = None) -> Index:
+        """With the rows of ``df``, which bring their ``ref_index``."""
+        new = with_subs(df, self.keys, text, SearchOptions.coerce(options)).select("ref_index", "subs")
+        return Index(self.rows.select("ref_index", "subs").unionByName(new), self.keys, self.strings)
+
+    def remove_all(self, positions: Sequence[int]) -> Index:
+        """Without the rows at these positions; those behind move up.  What is no position is ignored."""
+        gone, moved = _moved_up(positions)
+        return Index(self.rows.filter(~gone).withColumn("ref_index", moved), self.keys, self.strings)
+
+    def remove_at(self, position: int) -> Index:
+        return self.remove_all([position])
+
+
+def _moved_up(positions: Sequence[int]) -> tuple[Column, Column]:
+    """Whether a row goes, and the new ``ref_index`` of one that stays."""
+    wanted = sorted({p for p in positions if isinstance(p, int) and not isinstance(p, bool) and p >= 0})
+    if not wanted:
+        return F.lit(False), F.col("ref_index")
+    below = F.size(F.filter(F.array(*(F.lit(p).cast("long") for p in wanted)), lambda p: p < F.col("ref_index")))
+    return F.col("ref_index").isin(wanted), F.col("ref_index") - below
+
 
 class SearchEngine:
     """Ranked, typo-tolerant search over the rows of ``df``.
@@ -134,11 +160,10 @@ class SearchEngine:
 
     def remove_all(self, positions: Sequence[int]) -> DataFrame:
         """Take out several rows by position; what is no position is ignored."""
-        wanted = sorted({p for p in positions if isinstance(p, int) and not isinstance(p, bool) and p >= 0})
         old = self.docs
-        below = F.size(F.filter(F.array(*(F.lit(p).cast("long") for p in wanted)), lambda p: p < F.col("ref_index"))) if wanted else F.lit(0)
-        self._change(old.filter(~F.col("ref_index").isin(wanted)).withColumn("ref_index", F.col("ref_index") - below))
-        return old.filter(F.col("ref_index").isin(wanted))
+        gone, moved = _moved_up(positions)
+        self._change(old.filter(~gone).withColumn("ref_index", moved))
+        return old.filter(gone)
 
     def _change(self, docs: DataFrame) -> None:
         self.docs, self._given, self._rows, self._active = docs, None, None, self.keys

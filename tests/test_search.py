@@ -291,6 +291,12 @@ def test_indexes(spark, tmp_path):
         assert held.size() == 4
     record = json.loads(wire_records(index).orderBy("record").first().record)
     assert record == {"i": 0, "$": {"0": {"v": "Old Man's War", "n": 0.577}, "1": {"v": "John", "n": 1.0}, "2": [{"v": "sci", "n": 1.0, "i": 0}, {"v": "war", "n": 1.0, "i": 1}]}}
+    texts = lambda ix: [(f.ref_index, f.v) for f in ix.fields().filter("key_id = 'title'").orderBy("ref_index").collect()]
+    assert texts(index.remove_at(0)) == [(0, "The Lock Artist"), (1, "HTML5")]
+    assert texts(index.remove_all([2, 0, -5, True])) == [(0, "The Lock Artist")]
+    more = docs.filter("ref_index = 1").withColumn("ref_index", F.lit(9).cast("long"))
+    assert texts(index.add(more))[-1] == (9, "The Lock Artist")
+    assert [r.v for r in index.values_at(0, "tags").collect()] == ["sci", "war"]
     plain = create_index(strings(spark, ["", "a b"]), text="text")
     assert [json.loads(r.record) for r in wire_records(plain).collect()] == [{"v": "a b", "i": 1, "n": 0.707}]
     with pytest.raises(errors.InvalidIndex):
