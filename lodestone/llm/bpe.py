@@ -74,6 +74,11 @@ class Pieces:
                 if a is not None and b is not None:
                     merges[(a << 20) | b] = (rank[i], i)
         self.merges = merges
+        #: Symbol of each code point; an unknown one has its negative code point minus 1.
+        self.of_code = -1 - np.arange(0x110000, dtype=np.int64)
+        for c, i in self.symbol.items():
+            if len(c) == 1:
+                self.of_code[ord(c)] = i
         self._build_hash()
         alone = "".join(re.escape(c) for c in "\n\r\t" if c not in inner)
         self.cut = re.compile(rf" *[^ {alone}]+|[{alone}]| +" if alone else r" *[^ ]+| +")
@@ -116,13 +121,11 @@ class Pieces:
     def chunks(self, text: str | None) -> list[str]:
         return self.cut.findall(" " + text.replace("▁", " ")) if text else []
 
-    def _symbols(self, chunk: str) -> list[int]:
-        """Known characters as symbols; an unknown one as its negative code point minus 1."""
-        get = self.symbol.get
-        return [get(c, -1 - ord(c)) for c in chunk]
+    def _symbols(self, text: str) -> np.ndarray:
+        return self.of_code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
     def _ids(self, symbols: list[int]) -> list[int]:
-        if all(0 <= s < self.size for s in symbols):
+        if min(symbols) >= 0 and max(symbols) < self.size:
             return symbols
         ids = []
         for s in symbols:
@@ -138,7 +141,7 @@ class Pieces:
         short = []
         for k, chunk in enumerate(chunks):
             if len(chunk) > _LONG:
-                out[k] = self._ids(self._merge_long(self._symbols(chunk)))
+                out[k] = self._ids(self._merge_long(self._symbols(chunk).tolist()))
             else:
                 short.append(k)
         short.sort(key=lambda k: len(chunks[k]))  # chunks of like length finish together
@@ -155,9 +158,8 @@ class Pieces:
 
     def _merge_batch(self, chunks: list[str]) -> list[list[int]]:
         """Rank-synchronous merging: one best pair of every unfinished sequence a round."""
-        sym = np.array(self._symbols("".join(chunks)), np.int64)
-        sizes = np.array([len(c) for c in chunks])
-        seq = np.repeat(np.arange(len(chunks)), sizes)
+        sym = self._symbols("".join(chunks))
+        seq = np.repeat(np.arange(len(chunks)), [len(c) for c in chunks])
         done: list[list[int]] = [[]] * len(chunks)
 
         def pairs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,18 +172,19 @@ class Pieces:
             starts = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
             best = np.minimum.reduceat(np.where(rank == _NONE, _NONE, (rank << 32) | np.arange(len(sym))), starts)
             ended = best == _NONE
+            sizes = np.diff(np.append(starts, len(sym)))
+            keep = np.repeat(~ended, sizes)
             if ended.any():
-                ends = np.append(starts[1:], len(sym))
-                for k, a, b in zip(seq[starts[ended]].tolist(), starts[ended].tolist(), ends[ended].tolist()):
-                    done[k] = sym[a:b].tolist()
+                flat, cuts = sym[~keep].tolist(), np.concatenate([[0], np.cumsum(sizes[ended])]).tolist()
+                for k, a, b in zip(seq[starts[ended]].tolist(), cuts, cuts[1:]):
+                    done[k] = flat[a:b]
             at = best[~ended] & 0xFFFFFFFF
-            keep = np.repeat(~ended, np.diff(np.append(starts, len(sym))))
             sym[at] = merged[at]
             keep[at + 1] = False
             new = (np.cumsum(keep) - 1)[at]
             sym, seq, rank, merged = sym[keep], seq[keep], rank[keep], merged[keep]
             if len(new):
-                changed = np.unique(np.concatenate([new, np.maximum(new - 1, 0)]))
+                changed = np.concatenate([new, np.maximum(new - 1, 0)])
                 rank[changed], merged[changed] = pairs(changed)
         return done
 
