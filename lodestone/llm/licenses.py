@@ -63,7 +63,7 @@ def frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def best_templates(pieces: DataFrame, texts: DataFrame, params: LicenseParams) -> DataFrame:
-    """``piece, license, cosine`` of each distinct piece of text that has a template near enough."""
+    """``key, license, cosine`` of each piece of text (by the digest that stands for it) that has a template near enough."""
     spark = pieces.sparkSession
     templates = spark.createDataFrame([(k, *t) for k, t in enumerate(TEMPLATES)], "template int, license string, body string")
     counted = templates.select("template", "license", F.explode(_terms(F.col("body"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
@@ -71,16 +71,17 @@ def best_templates(pieces: DataFrame, texts: DataFrame, params: LicenseParams) -
     weights = counted.join(F.broadcast(idf), "term").select("template", "license", "term", (F.col("tf") * F.col("idf")).alias("t"))
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("t") * F.col("t"))).alias("t_norm"))
     weights = F.broadcast(weights.join(norms, "template"))
-    tf = pieces.select("piece", F.explode(_terms(F.col("piece"))).alias("term")).groupBy("piece", "term").agg(F.count("*").alias("tf"))
+    tf = pieces.select("key", F.explode(_terms(F.col("piece"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
     files = idf.select(F.max("files").alias("files"))
     own = tf.join(F.broadcast(idf.select("term", "idf")), "term", "left").crossJoin(F.broadcast(files))
-    own = own.select("piece", "term", (F.col("tf") * F.coalesce("idf", F.log(F.lit(1.0) + F.col("files")) + 1)).alias("p"))
-    length = own.groupBy("piece").agg(F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("p_norm"))
-    dots = own.join(weights, "term").groupBy("piece", "template", "license", "t_norm").agg(F.sum(F.col("p") * F.col("t")).alias("dot"))
+    own = own.select("key", "term", (F.col("tf") * F.coalesce("idf", F.log(F.lit(1.0) + F.col("files")) + 1)).alias("p"))
+    own = settle(own, "weights")
+    length = own.groupBy("key").agg(F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("p_norm"))
+    dots = own.join(weights, "term").groupBy("key", "template", "license", "t_norm").agg(F.sum(F.col("p") * F.col("t")).alias("dot"))
     cosine = F.round(F.col("dot") / F.col("t_norm") / F.col("p_norm"), 6)
-    near = dots.join(length, "piece").select("piece", "license", cosine.alias("cosine")).filter(F.col("cosine") >= params.least_cosine)
-    best = near.groupBy("piece").agg(F.min(F.struct((-F.col("cosine")).alias("order"), "license")).alias("best"))
-    return best.select("piece", "best.license", (-F.col("best.order")).alias("cosine"))
+    near = dots.join(length, "key").select("key", "license", cosine.alias("cosine")).filter(F.col("cosine") >= params.least_cosine)
+    best = near.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("order"), "license")).alias("best"))
+    return best.select("key", "best.license", (-F.col("best.order")).alias("cosine"))
 
 
 def directory_of(path: Column) -> Column:
@@ -127,8 +128,10 @@ def scan_licenses(
     whole = F.when(F.col("is_licence") & F.col("text").rlike(TRIGGERS), F.array("text")).otherwise(F.array().cast("array<string>"))
     held = settle(base.select("doc_id", "path", "is_licence", F.array_distinct(F.concat(lines, whole)).alias("pieces")), "headers")
     found = held.filter(F.size("pieces") > 0).select("doc_id", "path", F.explode("pieces").alias("piece"))
-    best = settle(best_templates(found.select("piece").distinct(), base.select("text"), params), "licensed-lines")
-    own = found.join(best, "piece").groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("cosine")).alias("order"), "license")).alias("best"))
+    found = found.withColumn("key", F.unhex(F.sha2("piece", 256)))  # stands for the text in all shuffles
+    distinct = found.groupBy("key").agg(F.any_value("piece").alias("piece"))
+    best = settle(best_templates(distinct, base.select("text"), params), "licensed-lines")
+    own = found.select("doc_id", "path", "key").join(best, "key").groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("cosine")).alias("order"), "license")).alias("best"))
     own = settle(own.select("doc_id", "path", F.col("best.license").alias("own_license"), (-F.col("best.order")).alias("cosine")), "own-licenses")
     rows = held.select(F.col("doc_id").alias("i"), F.col("path").alias("p"), "is_licence").join(
         own, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("p") == F.col("path")), "left"
