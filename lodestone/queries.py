@@ -58,13 +58,17 @@ def _extended_sql(condition: str) -> str:
     return f"SELECT p_partkey AS ref_index, round({_norm('p_name')} * {_LN_EPS}, 5) AS ln_score FROM part WHERE {condition}"
 
 
+def _edits(pattern: str, most: int) -> str:
+    """Least edits between the pattern and any substring of p_name, by brute force."""
+    return f"""(SELECT min(levenshtein('{pattern}', substr(lower(p_name), s, l))) FROM range(1, 40) a(s), range(0, {len(pattern) + most + 1}) b(l)
+      WHERE s <= length(p_name) AND s + l - 1 <= length(p_name))"""
+
+
 def _levenshtein_sql(pattern: str, most: int) -> str:
-    """Least edits between the pattern and any substring, by brute force over distinct values."""
     m = len(pattern)
     return f"""
 WITH d AS (SELECT DISTINCT p_name FROM part),
-k AS (SELECT p_name, (SELECT min(levenshtein('{pattern}', substr(lower(p_name), s, l))) FROM range(1, 40) a(s), range(0, {m + most + 1}) b(l)
-      WHERE s <= length(p_name) AND s + l - 1 <= length(p_name)) AS edits FROM d)
+k AS (SELECT p_name, {_edits(pattern, most)} AS edits FROM d)
 SELECT p_partkey AS ref_index,
        round({_norm('p_name')} * CASE WHEN lower(p_name) = '{pattern}' THEN {_LN_EPS} ELSE ln(greatest(0.001, edits / {m}.0)) END, 5) AS ln_score
 FROM part JOIN k USING (p_name) WHERE edits <= {most}
@@ -127,9 +131,13 @@ def ext_multi_key_inverse_gate(spark, sf_dir):
     return _scores(_part(spark, sf_dir, ("p_name", "p_type"), use_extended_search=True).search("!sm"))
 
 
-@query()
+@query(f"""
+WITH k AS (SELECT p_name, {_edits('wdget', 2)} AS edits FROM (SELECT DISTINCT p_name FROM part))
+SELECT p_partkey AS ref_index, round({_norm('p_name')} * ln(greatest(0.001, edits / 5.0) / 2), 5) AS ln_score
+FROM part JOIN k USING (p_name) WHERE starts_with(lower(p_name), 'bl') AND edits <= 2
+""")
 def ext_fuzzy_term(spark, sf_dir):
-    return _scores(_part(spark, sf_dir, use_extended_search=True, threshold=0.4).search("^bl wdget"))
+    return _scores(_part(spark, sf_dir, use_extended_search=True, threshold=0.4, ignore_location=True).search("^bl wdget"))
 
 
 # Approximate matching
@@ -290,7 +298,13 @@ def token_all(spark, sf_dir):
     return _scores(_part(spark, sf_dir, use_token_search=True, threshold=0.1, token_match="all").search("plate red"))
 
 
-@query()
+@query(f"""
+WITH k AS (SELECT p_name, {_edits('gizno', 2)} AS g, {_edits('smal', 1)} AS s FROM (SELECT DISTINCT p_name FROM part)),
+w AS (SELECT {_idf_sql('gizno')} AS a, {_idf_sql('smal')} AS b)
+SELECT p_partkey AS ref_index, round({_norm('p_name')} * ln(greatest(0.001, 1 - (
+  CASE WHEN g <= 2 THEN a * (1 - greatest(0.001, g / 5.0)) ELSE 0 END + CASE WHEN s <= 1 THEN b * (1 - greatest(0.001, s / 4.0)) ELSE 0 END) / (a + b))), 5) AS ln_score
+FROM part JOIN k USING (p_name), w WHERE g <= 2 OR s <= 1
+""")
 def token_typo(spark, sf_dir):
     return _scores(_part(spark, sf_dir, use_token_search=True, threshold=0.4).search("gizno smal"))
 
