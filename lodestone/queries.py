@@ -472,7 +472,7 @@ def index_roundtrip(spark, sf_dir):
 WITH q AS (SELECT DISTINCT p_name AS qid FROM part),
 s AS (SELECT qid, p_partkey AS ref_index, {_norm('p_name')} * CASE WHEN p_name = qid THEN {_LN_EPS} ELSE ln(0.001) END AS s FROM part, q WHERE contains(lower(p_name), qid)),
 r AS (SELECT qid, ref_index, round(s, 5) AS ln_score, row_number() OVER (PARTITION BY qid ORDER BY s, ref_index) AS rank FROM s)
-SELECT qid, ref_index, ln_score, rank FROM r WHERE rank <= 3
+SELECT qid, ref_index, ln_score, rank::INTEGER AS rank FROM r WHERE rank <= 3
 """)
 def batch_topk(spark, sf_dir):
     asked = _table(spark, sf_dir, "part").select(F.col("p_name").alias("qid"), F.col("p_name").alias("query")).distinct()
@@ -499,11 +499,19 @@ def fuzzy_best_match(spark, sf_dir):
     return fuzzy_join(customers, engine, ["number"], "c_custkey").select("qid", "ref_index", "band")
 
 
-@query(_JOIN_SQL + "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT ref_index FROM j)")
+@query(
+    _JOIN_SQL
+    + "SELECT 'supplier' AS side, s_suppkey AS id FROM supplier WHERE s_suppkey NOT IN (SELECT ref_index FROM j)"
+    + " UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT qid FROM j)"
+)
 def reconcile_missing(spark, sf_dir):
+    """Rows of either side without a partner on the other."""
     customers, engine = _customers_to_suppliers(spark, sf_dir)
     joined = fuzzy_join(customers, engine, ["number"], "c_custkey")
-    return without_partner(_table(spark, sf_dir, "supplier"), "s_suppkey", joined, "ref_index").select("s_suppkey")
+    left = without_partner(_table(spark, sf_dir, "supplier"), "s_suppkey", joined, "ref_index")
+    right = without_partner(customers, "c_custkey", joined, "qid")
+    sides = left.select(F.lit("supplier").alias("side"), F.col("s_suppkey").alias("id"))
+    return sides.unionByName(right.select(F.lit("customer").alias("side"), F.col("c_custkey").alias("id")))
 
 
 @query(_JOIN_SQL + "SELECT n.c_custkey AS qid, CASE WHEN ref_index IS NULL THEN 'escalate' ELSE 'auto' END AS band FROM n LEFT JOIN j ON n.c_custkey = j.qid")
