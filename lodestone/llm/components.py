@@ -11,14 +11,14 @@ from .common import settle
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour larger than u is tied to the least of u and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least")
     return both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours are tied to the least of those neighbours."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = settle(down.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
     tied = down.join(least, "u")
     return (
         tied.select(F.col("m").alias("u"), "v")
@@ -34,8 +34,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     links: longs ``u`` and ``v``.  Null ends and loops are ignored, repeated links and
     either direction are fine, no links give no rows.  Each round is written to the
     shared folder.  Only two aggregates of a round reach the driver.  Minima are
-    combined before the shuffle and joined back, so a hub's neighbours are never
-    gathered in one task.
+    combined before the shuffle, written, and joined back by a plain join of two tables,
+    whose skewed partitions Spark splits, so a hub's neighbours need not meet in one task.
     """
     edges = settle(links.filter("u <> v").select("u", "v").distinct(), "cc")
     seen = None
