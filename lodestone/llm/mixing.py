@@ -35,7 +35,7 @@ class MixingParams:
     temper: float = 0.5
     weights: Mapping[str, Mapping[str, float]] = field(default_factory=dict)
     seed: int = 4
-    per_bucket: int = 4096
+    per_bucket: int = 1024
 
 
 def domain_of(source: Column) -> Column:
