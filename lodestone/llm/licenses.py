@@ -3,8 +3,9 @@
 Only DataFrame functions.  A file's header lines are the lines that hold a trigger word; a
 licence file is compared by its whole text as well.  Terms are runs of ``[a-z0-9.]`` of the
 lower-cased line.  The weight of a term is its count times ln((1 + files) / (1 + files that
-hold it)) + 1, with document frequencies over all files for terms of the templates; a term
-of no template has frequency 0, which needs no table of the corpus's words.
+hold it)) + 1, with document frequencies over all files: for terms of the templates, and with
+``all_terms`` for all other terms of header lines and licence files too, which count as in no
+file without it.
 """
 
 from __future__ import annotations
@@ -43,21 +44,30 @@ TERM = "[a-z0-9.]*[a-z0-9]"
 
 @dataclass(frozen=True)
 class LicenseParams:
+    """``all_terms``: whether terms of no template have their document frequencies too; else 0."""
+
     least_cosine: float = 0.6
     licence_file: str = r"(?i)^(licen[cs]e|copying|notice|unlicense)(\.[a-z]+)?$"
+    all_terms: bool = False
 
 
 def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, idf`` of each template term and ``files``, from all files."""
-    vocabulary = F.array(*(F.lit(r.term) for r in terms.select("term").distinct().orderBy("term").collect()))
-    held = texts.select(F.explode(F.array_append(F.array_intersect(_terms(F.coalesce("text", F.lit(""))), vocabulary), F.lit(""))).alias("term"))
-    df = settle(held.groupBy("term").agg(F.count("*").alias("df")), "df")  # '' counts the files
+def frequencies(texts: DataFrame, terms: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """``term, idf`` of each template term, and of each term of ``more``, and ``files``, from all files."""
+    terms, held = terms.select("term").distinct(), _terms(F.coalesce("text", F.lit("")))
+    if more is None:
+        held = F.array_intersect(held, F.array(*(F.lit(r.term) for r in terms.orderBy("term").collect())))
+    else:
+        terms, held = settle(terms.union(more.select("term")).distinct(), "terms"), F.array_distinct(held)
+    df = texts.select(F.explode(F.array_append(held, F.lit(""))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    if more is not None:  # after the aggregate, so that no join meets a common term once for each file
+        df = df.join(terms.union(texts.sparkSession.createDataFrame([("",)], "term string")), "term", "left_semi")
+    df = settle(df, "df")  # '' counts the files
     files = df.filter("term = ''").select(F.col("df").alias("files"))
-    known = terms.select("term").distinct().join(df, "term", "left").crossJoin(F.broadcast(files))
+    known = terms.join(df, "term", "left").crossJoin(F.broadcast(files))
     idf = F.log((F.lit(1.0) + F.col("files")) / (F.lit(1.0) + F.coalesce("df", F.lit(0)))) + 1
     return settle(known.select("term", idf.alias("idf"), "files"), "idf")
 
@@ -67,13 +77,16 @@ def best_templates(pieces: DataFrame, texts: DataFrame, params: LicenseParams) -
     spark = pieces.sparkSession
     templates = spark.createDataFrame([(k, *t) for k, t in enumerate(TEMPLATES)], "template int, license string, body string")
     counted = templates.select("template", "license", F.explode(_terms(F.col("body"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
-    idf = frequencies(texts, counted)
-    weights = counted.join(F.broadcast(idf), "term").select("template", "license", "term", (F.col("tf") * F.col("idf")).alias("t"))
+    tf = pieces.select("key", F.explode(_terms(F.col("piece"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    if params.all_terms:
+        tf = settle(tf, "piece-terms")
+    idf = frequencies(texts, counted, tf if params.all_terms else None)
+    weights = F.broadcast(counted).join(idf, "term").select("template", "license", "term", (F.col("tf") * F.col("idf")).alias("t"))
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("t") * F.col("t"))).alias("t_norm"))
     weights = F.broadcast(weights.join(norms, "template"))
-    tf = pieces.select("key", F.explode(_terms(F.col("piece"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
     files = idf.select(F.max("files").alias("files"))
-    own = tf.join(F.broadcast(idf.select("term", "idf")), "term", "left").crossJoin(F.broadcast(files))
+    known = idf.select("term", "idf")
+    own = tf.join(known if params.all_terms else F.broadcast(known), "term", "left").crossJoin(F.broadcast(files))
     own = own.select("key", "term", (F.col("tf") * F.coalesce("idf", F.log(F.lit(1.0) + F.col("files")) + 1)).alias("p"))
     own = settle(own, "weights")
     length = own.groupBy("key").agg(F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("p_norm"))

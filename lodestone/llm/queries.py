@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact import exact_duplicates
-from .licenses import document_path, scan_licenses
+from .licenses import LicenseParams, document_path, scan_licenses
 from .media import media_columns
 from .minhash import MinHashParams, near_duplicates
 from .mixing import mix_sources
@@ -24,7 +24,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that names a licence counts as a licence file of its directory."""
-    return scan_licenses(table(spark, sf_dir, "documents"), path=document_path(), licence_file=F.lit(True))
+    return scan_licenses(table(spark, sf_dir, "documents"), LicenseParams(all_terms=True), path=document_path(), licence_file=F.lit(True))
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

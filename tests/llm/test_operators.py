@@ -336,6 +336,26 @@ def test_license_cosine_by_hand(spark):
     assert got[0] == pytest.approx(best(texts[0]), abs=2e-6) and got[2] == pytest.approx(best(texts[2]), abs=2e-6) and got[1] is None
 
 
+def test_license_line_with_common_words(spark, tmp_path):
+    """op2: words of no template count by the files that hold them, not as the rarest."""
+    import math
+
+    from lodestone.llm.licenses import TEMPLATES, TERM
+
+    common = " ".join(f"common{k}" for k in range(12))
+    texts = ["Released under the MIT License. " + common] + [f"{common} own{n}" for n in range(60)]
+    docs = [(n, t, "en", "src1", len(t)) for n, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    terms = lambda t: re.findall(TERM, t.lower())
+    idf = lambda w: math.log((1 + len(texts)) / (1 + sum(w in terms(t) for t in texts))) + 1
+    vec = lambda t: {w: terms(t).count(w) * idf(w) for w in terms(t)}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    a, b = vec(texts[0]), vec(TEMPLATES[0][1])
+    cosine = sum(a[w] * b.get(w, 0) for w in a) / norm(a) / norm(b)
+    got = {r.doc_id: (r.own_license, r.cosine) for r in queries.op2_license_scan(spark, str(tmp_path)).collect()}
+    assert cosine > 0.6 and got[0] == ("MIT", pytest.approx(cosine, abs=2e-6)) and got[1] == (None, None)
+
+
 def test_urls(spark):
     rows = [
         (1, "https://www.cheap-pills.example.com/fr/1", "<p>cheap news</p>"),
