@@ -564,6 +564,14 @@ def accent_free_lengths(spark, sf_dir):
     return docs.select("doc_id", F.length(without_accents(F.lower("text"))).cast("long").alias("n"))
 
 
+@query("""WITH t AS (SELECT doc_id, strip_accents(replace(translate(lower(text), 'łđøħŧı', 'ldohti'), 'ß', 'ss')) AS t FROM documents)
+SELECT doc_id, length(t) AS n, md5(t) AS text_md5 FROM t""")
+def without_accents_all(spark, sf_dir):
+    """All documents, those with letters that have no decomposition too."""
+    plain = _table(spark, sf_dir, "documents").select("doc_id", without_accents(F.lower("text")).alias("t"))
+    return plain.select("doc_id", F.length("t").cast("long").alias("n"), F.md5(F.encode("t", "UTF-8")).alias("text_md5"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator query on part names: native predicates, one scan, top ten without a full sort."""
     return _part(spark, sf_dir, use_extended_search=True).search("^red plate$ | 'gizmo", 10)

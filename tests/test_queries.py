@@ -1,5 +1,6 @@
 """Every catalogue query against its SQL, batches and streams."""
 
+import hashlib
 import math
 
 import duckdb
@@ -40,6 +41,21 @@ def test_query(spark, duck, name):
         assert got == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in said.fetchall())
 
 
+def test_accents_over_all_documents(spark, tmp_path):
+    """Letters without a decomposition are mapped in the query and in its SQL, in either case."""
+    texts = ["ßøłđħŧı Straße", "ØŁĐĦŦ ẞ", "Ångström é", "plain", "", None]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    name = "without_accents_all"
+    got = sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).select("doc_id", "n", "text_md5").collect())
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+        assert got == sorted(c.execute(queries.ORACLES[name]).fetchall())
+    plain = ["ssoldhti strasse", "oldht ss", "angstrom e", "plain", "", None]
+    digest = lambda t: None if t is None else hashlib.md5(t.encode()).hexdigest()
+    assert got == [(n, None if t is None else len(t), digest(t)) for n, t in enumerate(plain)]
+
+
 def test_batch_equals_single_queries(spark):
     parts = spark.read.parquet(f"{DATA}/part.parquet")
     asked = ["red plat", "gizno", "small rod"]
