@@ -382,6 +382,37 @@ def test_urls(spark):
     assert filter_urls(pages.limit(0)).count() == 0
 
 
+def test_urls_keep_rare_words(spark):
+    """Words of one page and of one url weigh as by plain tables, however many other words there are."""
+    from collections import Counter
+    from itertools import islice, product
+
+    from lodestone.llm.urls import PLAIN, SEEDS, Segmenter, UrlParams, log_odds, path_words
+
+    many = ["".join(w) for w in islice(product("bcdfghklmnprstvwz", repeat=4), 60_000)]
+    pages = [
+        (1, "http://filler.example.com/" + "/".join(many), " ".join(many * 2)),
+        (2, "http://zyxzyxwarez.example.com/zyxzyx", "zyxzyx"),
+        (3, "http://quiet.example.com/news/1", "quiet"),
+    ]
+    params = UrlParams()
+    lexicon = Counter(w for _, _, html in pages for w in re.findall("[a-z]{2,20}", html))
+    lexicon.update(dict.fromkeys((*SEEDS, *PLAIN), params.seed_count))
+    own = Segmenter(lexicon, params.longest)
+    words, classes = {}, {"": [0, 0]}
+    for i, url, _ in pages:
+        host, _, path = url.removeprefix("http://").partition("/")
+        words[i] = (own.host_words(host), path_words(path))
+        for w in ("", *words[i][0], *words[i][1]):
+            classes.setdefault(w, [0, 0])["warez" in words[i][0]] += 1
+    odds = log_odds(classes, params)
+    got = {r.page_id: r for r in filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[2].host_words == "zyxzyx warez example com"
+    for i, (host, path) in words.items():
+        assert got[i].host_words == " ".join(host)
+        assert got[i].block_log_odds == pytest.approx(odds[""] + sum(odds[w] for w in (*host, *path)), abs=1e-6)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, name):
     c = duckdb.connect()
