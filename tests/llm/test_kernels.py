@@ -205,6 +205,17 @@ def test_long_sequences_equal_the_library(library):
     assert own_ids(texts) == library.encode(texts)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_signatures_keep_pairs_at_the_threshold(percent):
+    """The exact binomial tail of dropping a true pair is under a fifth of that of missing every band."""
+    import math
+
+    params = MinHashParams(percent=percent)
+    p, n = percent / 100, params.hashes
+    dropped = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1) if k / n < params.least_agreement)
+    assert dropped < 1e-7 and dropped + (1 - p**params.rows) ** params.bands < 5e-7
+
+
 def test_tables_are_emptied_when_full():
     model = pieces("piece_bpe_32k.model")
     table = ChunkTable(model, len, limit=3)
