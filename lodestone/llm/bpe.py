@@ -224,7 +224,7 @@ def pieces(model: str) -> Pieces:
 class ChunkTable(dict):
     """chunk -> what ``entry(ids)`` makes of its ids; emptied when it outgrows ``limit`` chunks."""
 
-    def __init__(self, model: Pieces, entry, limit: int = 300_000):
+    def __init__(self, model: Pieces, entry, limit: int = 200_000):
         super().__init__()
         self.model, self.entry, self.limit = model, entry, limit
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +20,12 @@ MOST_BROADCAST_IDS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``.  Where that is unset, as in tests, a temporary one on a
+    local master; on a cluster, whose executors would each see a folder of their own, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -36,6 +43,28 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def return_memory() -> None:
+    """Give back what Arrow and the C library keep for later; a reused Python worker would hold it for hours."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A function for ``mapInArrow`` after which each task returns its memory."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            return_memory()
+
+    return tidied
+
+
 def rows_with_ids(docs: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
     """Rows of ``docs`` whose id is (or with ``left_anti`` is not) in ``ids``, a written table of one column.
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .words import batches
 
 FRAME = 64
@@ -259,7 +260,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.record_batch([batch.column("id"), *columns], ["doc_id", *schema.names])
 
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run,
+        tidy(run),
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string,"
         " feature string, codec string, seconds double, key_ranges array<struct<start: long, end: long>>, media binary",
     )

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_with_ids, settle
+from .common import rows_with_ids, settle, tidy
 from .words import Words, _power_tables, batches, mix, windows, words_of
 
 _NULL_ID = -(1 << 63)
@@ -204,7 +204,7 @@ def remove_repeats(
     key = ["id", "h"]
     seen = settle(
         docs.mapInArrow(
-            _scan(params),
+            tidy(_scan(params)),
             "id long, h long, n_words long, kept_sha256 string, node array<long>, context array<long>, at array<int>",
         ),
         "anchors",
@@ -227,7 +227,7 @@ def remove_repeats(
     judged = settle(
         rows_with_ids(docs, marks.select("id").distinct(), "id")
         .join(marks, key)
-        .mapInArrow(_judge(params), "id long, h long, sure array<int>, doubt array<int>, doubt_hash array<long>"),
+        .mapInArrow(tidy(_judge(params)), "id long, h long, sure array<int>, doubt array<int>, doubt_hash array<long>"),
         "judged",
     )
     doubtful = judged.select("id", "h", F.explode(F.arrays_zip("doubt", "doubt_hash")).alias("w")).select(
@@ -245,7 +245,7 @@ def remove_repeats(
     cut = settle(
         rows_with_ids(docs, hits.select("id").distinct(), "id")
         .join(hits, key)
-        .mapInArrow(_cut(params, contents), "id long, h long, n_removed long, kept_sha256 string, kept_text string")
+        .mapInArrow(tidy(_cut(params, contents)), "id long, h long, n_removed long, kept_sha256 string, kept_text string")
         .dropDuplicates(key),
         "cut",
     ).withColumnRenamed("kept_sha256", "sha")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ChunkTable, pieces
+from .common import tidy
 from .words import batches, column
 
 
@@ -46,7 +47,7 @@ def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
                 ["doc_id", "n_bytes", "n_tokens"],
             )
 
-    found = _select(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    found = _select(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long")
     return found.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
@@ -86,4 +87,4 @@ def encode_decode(
             yield pa.record_batch([batch.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", *names])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * contents
-    return _select(docs, id_col, text_col).mapInArrow(run, schema)
+    return _select(docs, id_col, text_col).mapInArrow(tidy(run), schema)

@@ -170,7 +170,7 @@ def windows(hashes: np.ndarray, size: int, seed: int = 17) -> np.ndarray:
         return mix(total)
 
 
-def batches(batch_iter, most: int = 4 << 20, column_name: str = "text"):
+def batches(batch_iter, most: int = 1 << 20, column_name: str = "text"):
     """Slices of Arrow batches that hold about ``most`` bytes of text (one row at least)."""
     for batch in batch_iter:
         sizes = np.diff(column(batch.column(column_name))[1])
@@ -179,3 +179,4 @@ def batches(batch_iter, most: int = 4 << 20, column_name: str = "text"):
             to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most)))
             yield batch.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()
