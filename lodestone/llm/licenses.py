@@ -1,11 +1,10 @@
 """License scan: sparse TF-IDF cosine to templates, then the nearest licensed ancestor directory.
 
-Only DataFrame functions.  A file's header lines are the lines that hold a trigger word; a
-licence file is compared by its whole text as well.  Terms are runs of ``[a-z0-9.]`` of the
-lower-cased line.  The weight of a term is its count times ln((1 + files) / (1 + files that
-hold it)) + 1, with document frequencies over all files: for terms of the templates, and with
-``all_terms`` for all other terms of header lines and licence files too, which count as in no
-file without it.
+Only DataFrame functions.  A file's header pieces are the lines and the blocks of lines (up to a
+line without letters) that hold a trigger word; a licence file is compared by its whole text as
+well.  Terms are runs of ``[a-z0-9.]`` of the lower-cased piece.  The weight of a term is its
+count times ln((1 + files) / (1 + files that hold it)) + 1, with the document frequencies of all
+terms of templates and pieces over all files.
 """
 
 from __future__ import annotations
@@ -17,23 +16,100 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-#: Sentences of public licences and notices by SPDX id.
+# Passages that several licences share.
+_FSF = (
+    "This {work} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, {version} of the License,"
+    " or any later version."
+)
+_GNU_HEAD = (
+    "{title} {version} Copyright Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+)
+_GNU = (
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE", "Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE", "Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE", "Version 3, 19 November 2007"),
+)
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."
+_BSD_TWO = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above"
+    " copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_THREE = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written"
+    " permission."
+)
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF"
+    " MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,"
+    " EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER"
+    " CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN"
+    " IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+#: Notices and texts of public licences by SPDX id.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the MIT License - see the LICENSE file for details."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software"
+        " without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit"
+        " persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all"
+        " copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES"
+        " OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER"
+        " LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this"
+        " permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF"
+        " MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF"
+        " USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"
+        " http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS,"
+        " WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", _FSF.format(work="program", name="GNU General Public License", version="either version 2")),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("GPL-3.0", _FSF.format(work="program", name="GNU General Public License", version="either version 3")),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", _FSF.format(work="library", name="GNU Lesser General Public License", version="either version 2.1")),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", _FSF.format(work="library", name="GNU Lesser General Public License", version="either version 3")),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", _FSF.format(work="program", name="GNU Affero General Public License", version="either version 3")),
+    *((name, _GNU_HEAD.format(title=title, version=version)) for name, title, version in _GNU),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_TWO} {_BSD_END}"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_TWO} {_BSD_THREE} {_BSD_END}"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"
+        " http://mozilla.org/MPL/2.0/.",
+    ),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal."),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in"
+        " source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
 )
 
 #: A line without any of these is no header line.
@@ -41,53 +117,48 @@ TRIGGERS = r"(?i)licen[cs]|copyright|permission|redistribut|free software|creati
 
 TERM = "[a-z0-9.]*[a-z0-9]"
 
+#: What parts blocks: line ends with nothing but marks of comments between them.
+BLOCK_END = r"\n(?:[\t\r *#/;-]*\n)+"
+
 
 @dataclass(frozen=True)
 class LicenseParams:
-    """``all_terms``: whether terms of no template have their document frequencies too; else 0."""
+    """templates: (SPDX id, text) pairs; full texts of more licences may be added to the fixed ones."""
 
     least_cosine: float = 0.6
-    licence_file: str = r"(?i)^(licen[cs]e|copying|notice|unlicense)(\.[a-z]+)?$"
-    all_terms: bool = False
+    licence_file: str = r"(?i)^(licen[cs]e|copying|notice|unlicense)([-.][-.a-z0-9]+)?$"
+    templates: tuple[tuple[str, str], ...] = TEMPLATES
 
 
 def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def frequencies(texts: DataFrame, terms: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """``term, idf`` of each template term, and of each term of ``more``, and ``files``, from all files."""
-    terms, held = terms.select("term").distinct(), _terms(F.coalesce("text", F.lit("")))
-    if more is None:
-        held = F.array_intersect(held, F.array(*(F.lit(r.term) for r in terms.orderBy("term").collect())))
-    else:
-        terms, held = settle(terms.union(more.select("term")).distinct(), "terms"), F.array_distinct(held)
+def frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``term, idf`` of each of ``terms``, from all files."""
+    spark = texts.sparkSession
+    held = F.array_distinct(_terms(F.coalesce("text", F.lit(""))))
     df = texts.select(F.explode(F.array_append(held, F.lit(""))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    if more is not None:  # after the aggregate, so that no join meets a common term once for each file
-        df = df.join(terms.union(texts.sparkSession.createDataFrame([("",)], "term string")), "term", "left_semi")
-    df = settle(df, "df")  # '' counts the files
+    # After the aggregate, so that no join meets a common term once for each file; '' counts the files.
+    df = settle(df.join(terms.union(spark.createDataFrame([("",)], "term string")), "term", "left_semi"), "df")
     files = df.filter("term = ''").select(F.col("df").alias("files"))
     known = terms.join(df, "term", "left").crossJoin(F.broadcast(files))
     idf = F.log((F.lit(1.0) + F.col("files")) / (F.lit(1.0) + F.coalesce("df", F.lit(0)))) + 1
-    return settle(known.select("term", idf.alias("idf"), "files"), "idf")
+    return settle(known.select("term", idf.alias("idf")), "idf")
 
 
 def best_templates(pieces: DataFrame, texts: DataFrame, params: LicenseParams) -> DataFrame:
     """``key, license, cosine`` of each piece of text (by the digest that stands for it) that has a template near enough."""
     spark = pieces.sparkSession
-    templates = spark.createDataFrame([(k, *t) for k, t in enumerate(TEMPLATES)], "template int, license string, body string")
+    templates = spark.createDataFrame([(k, *t) for k, t in enumerate(params.templates)], "template int, license string, body string")
     counted = templates.select("template", "license", F.explode(_terms(F.col("body"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
     tf = pieces.select("key", F.explode(_terms(F.col("piece"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
-    if params.all_terms:
-        tf = settle(tf, "piece-terms")
-    idf = frequencies(texts, counted, tf if params.all_terms else None)
+    tf = settle(tf, "piece-terms")
+    idf = frequencies(texts, settle(counted.select("term").union(tf.select("term")).distinct(), "terms"))
     weights = F.broadcast(counted).join(idf, "term").select("template", "license", "term", (F.col("tf") * F.col("idf")).alias("t"))
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("t") * F.col("t"))).alias("t_norm"))
     weights = F.broadcast(weights.join(norms, "template"))
-    files = idf.select(F.max("files").alias("files"))
-    known = idf.select("term", "idf")
-    own = tf.join(known if params.all_terms else F.broadcast(known), "term", "left").crossJoin(F.broadcast(files))
-    own = own.select("key", "term", (F.col("tf") * F.coalesce("idf", F.log(F.lit(1.0) + F.col("files")) + 1)).alias("p"))
+    own = tf.join(idf, "term").select("key", "term", (F.col("tf") * F.col("idf")).alias("p"))
     own = settle(own, "weights")
     length = own.groupBy("key").agg(F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("p_norm"))
     dots = own.join(weights, "term").groupBy("key", "template", "license", "t_norm").agg(F.sum(F.col("p") * F.col("t")).alias("dot"))
@@ -122,12 +193,13 @@ def scan_licenses(
     """Per row ``doc_id, path, own_license, cosine, license, inherited_from``.
 
     path: the file's path (default: column ``path``).  own_license: of the template with the
-    greatest cosine, at least ``least_cosine``, to any header line, or to the whole text of a
-    licence file; ties go to the first licence by name; null if none.  license: own_license, else
+    greatest cosine, at least ``least_cosine``, to any header line or block, or to the whole text of a
+    licence file (by its name, or by the column ``licence_file``); ties go to the first licence by name; null if none.  license: own_license, else
     that of the nearest directory at or above the file's own which has a licence file with a
     licence; of several the one most files name, then the first by name.  inherited_from: that
     directory, null if the licence is the file's own or there is none.  Null texts are empty and
-    have no licence; null paths lie at the top.  Rows may repeat; other columns are ignored.
+    have no licence; null paths lie at the top.  Rows may repeat, with one id and path too, and are
+    judged each by its own text; other columns are ignored.
     """
     place = F.coalesce(path if path is not None else F.col("path"), F.lit(""))
     name = F.regexp_extract(place, r"(?s)([^/]*)$", 1)
@@ -137,19 +209,19 @@ def scan_licenses(
         (licence_file if licence_file is not None else name.rlike(params.licence_file)).alias("is_licence"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(TRIGGERS))
-    whole = F.when(F.col("is_licence") & F.col("text").rlike(TRIGGERS), F.array("text")).otherwise(F.array().cast("array<string>"))
-    held = settle(base.select("doc_id", "path", "is_licence", F.array_distinct(F.concat(lines, whole)).alias("pieces")), "headers")
-    found = held.filter(F.size("pieces") > 0).select("doc_id", "path", F.explode("pieces").alias("piece"))
+    none = F.array().cast("array<string>")
+    cut = F.concat(F.split("text", "\n"), F.split("text", BLOCK_END))
+    heads = F.when(F.col("text").rlike(TRIGGERS), F.filter(cut, lambda piece: piece.rlike(TRIGGERS))).otherwise(none)
+    whole = F.when(F.col("is_licence") & (F.col("text") != ""), F.array("text")).otherwise(none)
+    pieces = F.array_distinct(F.concat(heads, whole)).alias("pieces")
+    held = settle(base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", "is_licence", pieces), "headers")
+    found = held.filter(F.size("pieces") > 0).select("row", F.explode("pieces").alias("piece"))
     found = found.withColumn("key", F.unhex(F.sha2("piece", 256)))  # stands for the text in all shuffles
     distinct = found.groupBy("key").agg(F.any_value("piece").alias("piece"))
     best = settle(best_templates(distinct, base.select("text"), params), "licensed-lines")
-    own = found.select("doc_id", "path", "key").join(best, "key").groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("cosine")).alias("order"), "license")).alias("best"))
-    own = settle(own.select("doc_id", "path", F.col("best.license").alias("own_license"), (-F.col("best.order")).alias("cosine")), "own-licenses")
-    rows = held.select(F.col("doc_id").alias("i"), F.col("path").alias("p"), "is_licence").join(
-        own, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("p") == F.col("path")), "left"
-    )
-    rows = rows.select(F.col("i").alias("doc_id"), F.col("p").alias("path"), "is_licence", "own_license", "cosine", directory_of(F.col("p")).alias("directory"))
+    own = found.select("row", "key").join(best, "key").groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("order"), "license")).alias("best"))
+    own = settle(own.select("row", F.col("best.license").alias("own_license"), (-F.col("best.order")).alias("cosine")), "own-licenses")
+    rows = held.drop("pieces").join(own, "row", "left").drop("row").withColumn("directory", directory_of(F.col("path")))
     voted = rows.filter("is_licence and own_license is not null").groupBy("directory", "own_license").agg(F.count("*").alias("n"))
     licensed = voted.groupBy("directory").agg(F.min(F.struct((-F.col("n")).alias("order"), "own_license")).alias("v"))
     licensed = licensed.select(F.col("directory").alias("name"), F.col("v.own_license").alias("given"))

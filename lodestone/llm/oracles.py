@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import TEMPLATES, TERM, TRIGGERS
+from .licenses import BLOCK_END, TEMPLATES, TERM, TRIGGERS
 
 OP1 = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -26,20 +26,20 @@ _BODIES = ", ".join(f"({k}, {_quoted(name)}, {_quoted(body)})" for k, (name, bod
 OP2 = f"""
 WITH template(k, license, body) AS (VALUES {_BODIES}),
 tt AS (SELECT k, license, term, count(*) AS tf FROM (SELECT k, license, unnest(regexp_extract_all(lower(body), '{TERM}')) AS term FROM template) GROUP BY ALL),
-vocabulary AS (SELECT DISTINCT term FROM tt),
 files AS (SELECT doc_id, coalesce(text, '') AS text,
   coalesce(source, 'none') || CASE WHEN doc_id % 50 = 0 THEN '' WHEN doc_id % 10 = 0 THEN '/' || coalesce(lang, 'none')
     ELSE '/' || coalesce(lang, 'none') || '/' || (doc_id // 100) END AS directory FROM documents),
-held AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM files) SEMI JOIN vocabulary USING (term)),
+held AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM files)),
 n AS (SELECT count(*) AS n FROM documents),
-idf AS (SELECT term, ln((1 + n) / (1.0 + coalesce(df, 0))) + 1 AS idf FROM vocabulary LEFT JOIN (SELECT term, count(*) AS df FROM held GROUP BY 1) USING (term), n),
+idf AS (SELECT term, ln((1 + n) / (1.0 + coalesce(df, 0))) + 1 AS idf FROM (SELECT term FROM tt UNION SELECT term FROM held)
+  LEFT JOIN (SELECT term, count(*) AS df FROM held GROUP BY 1) USING (term), n),
 tw AS (SELECT k, license, term, tf * idf AS t FROM tt JOIN idf USING (term)),
 tn AS (SELECT k, sqrt(sum(t * t)) AS t_norm FROM tw GROUP BY 1),
 piece AS (SELECT DISTINCT doc_id, piece FROM (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS piece FROM files UNION ALL SELECT doc_id, text FROM files)
+  SELECT doc_id, unnest(string_split(text, chr(10)) || regexp_split_to_array(text, '{BLOCK_END}')) AS piece FROM files UNION ALL SELECT doc_id, text FROM files)
   WHERE regexp_matches(piece, '{TRIGGERS}')),
 pt AS (SELECT piece, term, count(*) AS tf FROM (SELECT piece, unnest(regexp_extract_all(lower(piece), '{TERM}')) AS term FROM (SELECT DISTINCT piece FROM piece)) GROUP BY ALL),
-pw AS (SELECT piece, term, tf * coalesce(idf, ln(1.0 + n) + 1) AS p FROM pt LEFT JOIN idf USING (term), n),
+pw AS (SELECT piece, term, tf * idf AS p FROM pt JOIN idf USING (term)),
 pn AS (SELECT piece, sqrt(sum(p * p)) AS p_norm FROM pw GROUP BY 1),
 cosine AS (SELECT piece, license, k, round(sum(p * t) / any_value(t_norm) / any_value(p_norm), 6) AS cosine
   FROM pw JOIN tw USING (term) JOIN tn USING (k) JOIN pn USING (piece) GROUP BY piece, license, k),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact import exact_duplicates
-from .licenses import LicenseParams, document_path, scan_licenses
+from .licenses import TRIGGERS, document_path, scan_licenses
 from .media import media_columns
 from .minhash import MinHashParams, near_duplicates
 from .mixing import mix_sources
@@ -24,11 +24,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that names a licence counts as a licence file of its directory."""
-    return scan_licenses(table(spark, sf_dir, "documents"), LicenseParams(all_terms=True), path=document_path(), licence_file=F.lit(True))
+    named = F.coalesce(F.col("text").rlike(TRIGGERS), F.lit(False))
+    return scan_licenses(table(spark, sf_dir, "documents"), path=document_path(), licence_file=named)
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(table(spark, sf_dir, "documents")).drop("key_ranges")
+    """The byte ranges of the key frames as text, ``first-end`` joined by commas."""
+    shown = F.array_join(F.transform("key_ranges", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
+    return media_columns(table(spark, sf_dir, "documents")).withColumn("key_ranges", shown)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
