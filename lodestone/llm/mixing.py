@@ -12,7 +12,7 @@ holds every document once, in the order of md5(seed:e:id).
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -83,6 +83,18 @@ def leaf_budgets(leaves: DataFrame, params: MixingParams) -> DataFrame:
     return leaves.join(parents.select(*LEVELS, F.floor(F.round("budget", 3)).cast("long").alias("budget")), list(LEVELS))
 
 
+def prefix_sums(runs: DataFrame, per_block: int) -> DataFrame:
+    """``ahead``: tokens of the leaf's runs before each.  First over blocks of ``per_block`` runs, then
+    inside each block, so a window holds a leaf's rows divided by per_bucket times ``per_block`` at most."""
+    blocked = runs.withColumn("block", F.floor(F.col("run") / per_block))
+    above = Window.partitionBy(*LEVELS).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*LEVELS, "block").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocked.groupBy(*LEVELS, "block").agg(F.sum("own").alias("all"))
+    blocks = blocks.select(*LEVELS, "block", F.coalesce(F.sum("all").over(above), F.lit(0)).alias("base"))
+    joined = blocked.join(blocks, [*LEVELS, "block"])
+    return joined.select(*LEVELS, "run", "own", (F.col("base") + F.coalesce(F.sum("own").over(inside), F.lit(0))).alias("ahead"))
+
+
 def mix_sources(
     docs: DataFrame,
     params: MixingParams = MixingParams(),
@@ -91,9 +103,10 @@ def mix_sources(
     lang_col: str = "lang",
     source_col: str = "source",
     domain: Column | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Per row ``doc_id, domain, lang, source, n_tokens, leaf_tokens, leaf_budget, full_epochs,
-    partial_tokens, kept``.
+    partial_tokens, kept``, and the columns of ``carry`` as ``carry_0, carry_1, ...``.
 
     Tokens are words.  A row is used ``full_epochs`` times whole, and in the next epoch its first
     ``partial_tokens`` tokens end the leaf's prefix or lie in it.  kept: any token is used.  Null
@@ -109,6 +122,7 @@ def mix_sources(
         named(lang_col).alias("lang"),
         named(source_col).alias("source"),
         F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"),
+        *(F.col(f"`{c}`").alias(f"carry_{k}") for k, c in enumerate(carry)),
     )
     rows = settle(base, "mix-rows")
     leaves = settle(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).filter("tokens > 0"), "mix-leaves")
@@ -122,8 +136,7 @@ def mix_sources(
     runs = F.coalesce(F.ceil(F.col("docs") / params.per_bucket), F.lit(1))
     known = known.withColumn("run", F.floor(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long") * runs / F.lit(1 << 32)).cast("long"))
     sums = known.groupBy(*LEVELS, "run").agg(F.sum("n_tokens").alias("own"))
-    to_here = F.sum("own").over(Window.partitionBy(*LEVELS).orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select(*LEVELS, "run", "own", F.coalesce(to_here, F.lit(0)).alias("ahead"))
+    sums = prefix_sums(settle(sums, "mix-runs"), params.per_bucket)
     known = known.join(sums, [*LEVELS, "run"])
     # Only a run in which the prefix ends has to be sorted.
     ends = (F.col("ahead") < F.col("rest")) & (F.col("ahead") + F.col("own") > F.col("rest"))
@@ -131,7 +144,8 @@ def mix_sources(
     order = Window.partitionBy(*LEVELS, "run").orderBy("turn", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     open_ = known.filter(ends).withColumn("before", F.col("ahead") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
     open_ = open_.withColumn("partial", F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("rest") - F.col("before"))))
-    out = ["doc_id", *LEVELS, "n_tokens", "tokens", "budget", "full_epochs", "partial"]
+    carried = [f"carry_{k}" for k in range(len(carry))]
+    out = ["doc_id", *LEVELS, "n_tokens", "tokens", "budget", "full_epochs", "partial", *carried]
     return (
         settled.select(*out)
         .unionByName(open_.select(*out))
@@ -144,5 +158,6 @@ def mix_sources(
             F.col("full_epochs").cast("long").alias("full_epochs"),
             F.col("partial").cast("long").alias("partial_tokens"),
             ((F.col("full_epochs") > 0) & (F.col("n_tokens") > 0) | (F.col("partial") > 0)).alias("kept"),
+            *carried,
         )
     )
