@@ -14,7 +14,7 @@ from lodestone.llm.bpe import ChunkTable, pieces
 from lodestone.llm.media import MediaError, box, full_box, pad, read_tracks, samples_of, walk, write_track
 from lodestone.llm.minhash import MinHashParams, links_in, shingle_sets, signatures
 from lodestone.llm.substrings import SubstringParams, anchors_of
-from lodestone.llm.urls import PLAIN, SEEDS, Segmenter, log_odds, path_words
+from lodestone.llm.urls import PLAIN, SEEDS, Segmenter
 from lodestone.llm.words import shapes_of, windows, words_of
 
 TEXT = st.text(alphabet=st.sampled_from(list("abAB \t\n\x0b\r\x1c é日9.!")), max_size=60)
@@ -243,15 +243,3 @@ def test_segmentation_against_all_splits():
         assert cost(own.split(name)) == pytest.approx(min(map(cost, splits(name))))
     assert own.split("cheappills") == ["cheap", "pills"] and own.host_words("www.free-bets.com") == own.split("www") + ["free", "bets"] + own.split("com")
     assert Segmenter({}, 20).split("abc") and "spam" in SEEDS and "com" in PLAIN
-
-
-def test_naive_bayes_by_hand():
-    import math
-
-    from lodestone.llm.urls import UrlParams
-
-    odds = log_odds({"": (3, 1), "spam": (0, 2), "news": (4, 0)}, UrlParams())
-    assert odds["spam"] == pytest.approx(math.log(3 / (2 + 3)) - math.log(1 / (4 + 3)))
-    assert odds["news"] < 0 < odds["spam"] and odds[""] == pytest.approx(math.log(2 / 4))
-    assert path_words("/en/7-Days/x.html") == ["/en", "/0", "/days", "/x", "/html"]
-    assert re.fullmatch("[a-z]+", SEEDS[0])
