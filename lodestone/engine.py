@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .errors import FeatureUnavailable, InvalidDocIndex, InvalidIndex
+from .errors import FeatureUnavailable, IndexProblem, PositionProblem
 from .functions.bitap import Found, ScanOptions, match_all
 from .functions.text import fold_literal
 from .operators import tokens
@@ -91,19 +91,15 @@ class SearchEngine:
 
     def set_collection(self, df: DataFrame, index: Index | None = None, ref_index: str | None = None) -> None:
         if index is not None and not isinstance(index, Index):
-            raise InvalidIndex()
+            raise IndexProblem(index)
         self.columns = [c for c in df.columns if c != "ref_index"]
         if ref_index is not None:
             df = df.withColumn("ref_index", F.col(ref_index).cast("long"))
         elif "ref_index" not in df.columns:
             df = dense_index(df, *self.order_by)
         self.docs, self._given, self._rows = df, index, None
-        if index is not None:  # weights are looked up by id; keys that this engine does not know keep theirs
-            known = self.keys.by_id
-            self._active = index.keys
-            self._active.keys = [self.keys.keys[known[k.id]] if k.id in known else k for k in index.keys.raw]
-        else:
-            self._active = self.keys
+        # Weights are looked up by id; keys that this engine does not know keep theirs.
+        self._active = self.keys if index is None else index.keys.reweighted(self.keys)
 
     @property
     def strings(self) -> bool:
@@ -152,7 +148,7 @@ class SearchEngine:
     def remove_at(self, position: int) -> DataFrame:
         """Take out one row; those behind it move up."""
         if isinstance(position, bool) or not isinstance(position, int) or position < 0 or position >= self.size():
-            raise InvalidDocIndex()
+            raise PositionProblem(position)
         old = self.docs
         moved = F.when(F.col("ref_index") > position, F.col("ref_index") - 1).otherwise(F.col("ref_index"))
         self._change(old.filter(F.col("ref_index") != position).withColumn("ref_index", moved))

@@ -154,10 +154,10 @@ def search_many(engine: SearchEngine, queries: DataFrame, limit: int = -1, qid:
 
 
 def bands(score: Column, names: Sequence[str], bounds: Sequence[float]) -> Column:
-    """The first name whose bound the score does not exceed; the last name beyond all, and without a score."""
+    """The first name whose bound the score is below; the last name from the last bound on, and without a score."""
     out = F.lit(names[-1])
     for name, bound in reversed(list(zip(names, bounds))):
-        out = F.when(score <= bound, name).otherwise(out)
+        out = F.when(score < bound, name).otherwise(out)
     return F.when(score.isNull(), names[-1]).otherwise(out)
 
 

@@ -10,21 +10,22 @@ from pyspark.sql import functions as F
 from ..functions.text import field_norm, is_blank, without_accents_list
 from ..options import SearchOptions
 from ..plans.keys import KeySet, texts_of
+from ..shared import written
 
 #: A row's searchable values: position of the key (null in a collection of strings), of the innermost
 #: array element, the text, its folded form, its norm.
 SUBS = "array<struct<key_idx:int,arr_idx:int,v:string,u:string,norm:double>>"
 
-ROW = "__row"  # the collection's own columns, packed
-
 
 def dense_index(df: DataFrame, *order: Column | str, name: str = "ref_index") -> DataFrame:
     """Number rows 0.. in the given order: sorted by ranges, each partition offset by the rows before it.
 
-    The sorted rows are persisted: counting and numbering must see the same partitions.
+    The sorted rows are written: counting and numbering must see the same partitions, also if an
+    executor is lost in between.
     """
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    marked = spread.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()).persist()
+    marked = spread.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    marked = written(marked, "numbered")
     counts = marked.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__m").alias("__first"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     offsets = counts.select("__p", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -92,7 +93,3 @@ def short_form(fields: DataFrame) -> DataFrame:
     """Back from one row per value to ``ref_index, subs``."""
     packed = F.struct("key_idx", F.col("arr_idx"), "v", F.col("v_norm").alias("u"), "norm")
     return fields.groupBy("ref_index").agg(F.array_sort(F.collect_list(packed)).cast(SUBS).alias("subs"))
-
-
-def pack(df: DataFrame, columns: Sequence[str]) -> Column:
-    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in columns))

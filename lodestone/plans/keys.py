@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import InvalidKeyWeight, MissingKeyName
+from ..errors import KeyProblem
 from ..functions.text import is_text_type, stringify
 
 #: One searchable text of a row before folding: the innermost array position (null outside arrays).
@@ -46,10 +46,10 @@ def make_key(spec: Any) -> Key:
     if isinstance(spec, (str, list, tuple)):
         return Key(key_path(spec), key_id(spec), 1.0, spec if isinstance(spec, str) else list(spec))
     if not isinstance(spec, Mapping) or "name" not in spec:
-        raise MissingKeyName()
+        raise KeyProblem.nameless()
     name, weight = spec["name"], spec.get("weight")
     if weight is not None and weight <= 0:
-        raise InvalidKeyWeight(key_id(name))
+        raise KeyProblem.weightless(key_id(name), weight)
     getter = spec.get("get_fn", spec.get("getFn"))
     return Key(key_path(name), key_id(name), 1.0 if weight is None else float(weight), name if isinstance(name, str) else list(name), getter)
 
@@ -73,6 +73,12 @@ class KeySet:
     def weight_of(self, id_: str) -> float:
         return self.keys[self.by_id[id_]].weight
 
+    def reweighted(self, own: KeySet) -> KeySet:
+        """These keys, in a set of its own, with the weights that ``own`` has for their ids."""
+        new = KeySet(self.raw)
+        new.keys = [own.keys[own.by_id[k.id]] if k.id in own.by_id else k for k in self.raw]
+        return new
+
     def to_list(self) -> list[dict[str, Any]]:
         return [k.as_dict() for k in self.keys]
 

@@ -13,8 +13,11 @@ from .engine import SearchEngine
 from .functions.text import highlight, merge_ranges, without_accents
 from .operators.batch import fuzzy_join, search_many, triage, without_partner
 from .operators.values import dense_index
+from .functions.sql import register_functions
 from .plans.keys import KeySet
-from .sources.index import create_index, parse_index, wire_records
+from .shared import scratch
+from .sources.index import create_index, load_index, parse_index, save_index, wire_records
+from .sources.records import infer_keys, load_records
 from .streaming.search import search_stream, standing_queries
 
 QUERIES: dict = {}
@@ -465,6 +468,96 @@ def index_roundtrip(spark, sf_dir):
     return _scores(SearchEngine(parts, keys=["p_name"], use_extended_search=True, include_score=True, index=back).search("^hot"))
 
 
+@query("SELECT p_partkey - (p_partkey > 3)::INT - (p_partkey > 9)::INT AS ref_index, p_name AS v FROM part WHERE p_partkey NOT IN (3, 9) UNION ALL SELECT 1000000 + s_suppkey, s_name FROM supplier")
+def index_mutation(spark, sf_dir):
+    """Rows of an index taken out by position, others put in."""
+    index = create_index(_table(spark, sf_dir, "part").withColumn("ref_index", F.col("p_partkey")), ["p_name"])
+    more = _table(spark, sf_dir, "supplier").select((1_000_000 + F.col("s_suppkey")).alias("ref_index"), F.col("s_name").alias("p_name"))
+    return index.remove_at(9).remove_all([3, 3, -1]).add(more).fields().select("ref_index", "v")
+
+
+@query(_extended_sql("ends_with(lower(p_name), 'gizmo')"))
+def saved_index(spark, sf_dir):
+    """An index saved as Parquet, loaded and searched."""
+    parts = _table(spark, sf_dir, "part").withColumn("ref_index", F.col("p_partkey"))
+    path = scratch(spark, "saved-index")
+    save_index(create_index(parts, ["p_name"]), path)
+    return _scores(SearchEngine(parts, keys=["p_name"], use_extended_search=True, include_score=True, index=load_index(spark, path)).search("gizmo$"))
+
+
+# Sources
+
+
+@query("SELECT p_partkey AS ref_index FROM part WHERE starts_with(lower(p_name), 'red') AND NOT contains(lower(p_name), 'plate')")
+def strings_search(spark, sf_dir):
+    """A collection of strings."""
+    engine = SearchEngine(_table(spark, sf_dir, "part"), ref_index="p_partkey", text="p_name", use_extended_search=True)
+    return engine.search("^red !plate").select("ref_index")
+
+
+def _as_json(spark, sf_dir, suffix: str) -> str:
+    """Parts as one JSON file, an object a line or an array."""
+    path = f"{scratch(spark, 'records')}{suffix}"
+    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_name", F.struct("p_type", "p_size").alias("more"))
+    lines = parts.select(F.to_json(F.struct("*")).alias("value"))
+    if suffix == ".json":
+        lines = lines.agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ",\n"), F.lit("]")).alias("value"))
+    lines.write.text(path)
+    return path
+
+
+_RECORDS_SQL = """
+SELECT p_partkey AS ref_index, 'p_name,more.p_type' AS keys FROM part WHERE contains(lower(p_name), 'green') OR contains(lower(p_type), 'green')
+"""
+
+
+@query(_RECORDS_SQL)
+def json_records(spark, sf_dir):
+    """An array of objects, its keys inferred."""
+    return _inferred(load_records(spark, _as_json(spark, sf_dir, ".json")))
+
+
+@query(_RECORDS_SQL)
+def json_lines_records(spark, sf_dir):
+    """An object a line, its keys inferred."""
+    return _inferred(load_records(spark, _as_json(spark, sf_dir, ".jsonl")))
+
+
+def _inferred(records: DataFrame) -> DataFrame:
+    keys = sorted(infer_keys(records.schema), reverse=True)
+    found = SearchEngine(records, ref_index="p_partkey", keys=keys, use_extended_search=True).search("'green")
+    return found.select("ref_index", F.lit(",".join(keys)).alias("keys"))
+
+
+# Functions for SQL, tokenizers
+
+
+@query(f"""
+WITH d AS (SELECT DISTINCT p_name FROM part), k AS (SELECT p_name, {_edits('gren gizmp', 3)} AS edits FROM d)
+SELECT p_partkey AS ref_index, edits <= 3 AS found,
+  round(CASE WHEN edits > 3 THEN NULL WHEN lower(p_name) = 'gren gizmp' THEN 0 ELSE greatest(0.001, edits / 10.0) END, 6) AS score
+FROM part JOIN k USING (p_name)
+""")
+def sql_functions(spark, sf_dir):
+    register_functions(spark, threshold=0.3, ignore_location=True)
+    _table(spark, sf_dir, "part").createOrReplaceTempView("lodestone_parts")
+    return spark.sql(
+        "SELECT p_partkey AS ref_index, fuzzy_match('gren gizmp', p_name) AS found, round(fuzzy_score('gren gizmp', p_name), 6) AS score FROM lodestone_parts"
+    )
+
+
+@query("SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(p_type), '[a-z]{2}'))) AS term FROM part) GROUP BY term")
+def token_pattern(spark, sf_dir):
+    """Terms by a regular expression."""
+    return _part(spark, sf_dir, ("p_type",), use_token_search=True, tokenize="[a-z]{2}").document_frequencies()
+
+
+@query("SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(string_split(lower(p_type), ' '))) AS term FROM part) GROUP BY term")
+def token_function(spark, sf_dir):
+    """Terms by a Python function."""
+    return _part(spark, sf_dir, ("p_type",), use_token_search=True, tokenize=lambda text: text.split(" ")).document_frequencies()
+
+
 # Batches and joins
 
 
@@ -525,18 +618,10 @@ def triage_bands(spark, sf_dir):
 
 def _drained(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there into a written table."""
-    from uuid import uuid4
-
-    spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="lodestone-")
-    path = f"{base}/lodestone/{name}-{uuid4().hex}"
+    path = scratch(stream.sparkSession, name)
     query_ = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     query_.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
 def _streamed(spark, sf_dir, name: str) -> DataFrame:
@@ -558,12 +643,6 @@ def stream_standing_queries(spark, sf_dir):
 # Text functions
 
 
-@query("SELECT doc_id, length(strip_accents(lower(text))) AS n FROM documents WHERE NOT regexp_matches(text, '[ßøłđħŧıŁĐØĦŦ]')")
-def accent_free_lengths(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").filter(~F.col("text").rlike("[ßøłđħŧıŁĐØĦŦ]"))
-    return docs.select("doc_id", F.length(without_accents(F.lower("text"))).cast("long").alias("n"))
-
-
 @query("""WITH t AS (SELECT doc_id, strip_accents(replace(translate(lower(text), 'łđøħŧı', 'ldohti'), 'ß', 'ss')) AS t FROM documents)
 SELECT doc_id, length(t) AS n, md5(t) AS text_md5 FROM t""")
 def without_accents_all(spark, sf_dir):

@@ -75,8 +75,8 @@ def test_blank_and_no_queries(spark):
 
 
 def test_bands(spark):
-    df = spark.createDataFrame([(0.5,), (0.7,), (0.9,), (None,)], "s double")
-    assert [r[0] for r in df.select(bands(F.col("s"), ("a", "b", "c"), (0.55, 0.8))).collect()] == ["a", "b", "c", "c"]
+    df = spark.createDataFrame([(0.5,), (0.7,), (0.9,), (None,), (0.55,), (0.8,)], "s double")
+    assert [r[0] for r in df.select(bands(F.col("s"), ("a", "b", "c"), (0.55, 0.8))).collect()] == ["a", "b", "c", "c", "b", "c"]
 
 
 def test_stream_statistics(spark, tmp_path):
@@ -108,3 +108,16 @@ def test_plans_stay_narrow(spark):
     assert "ArrowEvalPython" not in native and "Exchange" not in native and "TakeOrderedAndProject" in native and "p_brand" not in native
     fuzzy = plan(SearchEngine(parts, ref_index="p_partkey", keys=["p_name", "p_type"], include_score=True).search("rde", 5))
     assert fuzzy.count("ArrowEvalPython") == 1
+
+
+def test_engines_that_share_an_index_keep_their_weights(spark):
+    rows = spark.createDataFrame([(0, "red", "x red y z"), (1, "x red y z", "red")], "ref_index long, a string, b string")
+    from lodestone.sources.index import create_index
+
+    index = create_index(rows, ["a", "b"])
+    weigh = lambda a, b: SearchEngine(rows, keys=[{"name": "a", "weight": a}, {"name": "b", "weight": b}], include_score=True, index=index)
+    first = weigh(9, 1)
+    before = first.search("red").select("ref_index", "score").collect()
+    other = weigh(1, 9).search("red").select("ref_index", "score").collect()
+    assert first.search("red").select("ref_index", "score").collect() == before
+    assert [r.ref_index for r in other] == [r.ref_index for r in before][::-1]
