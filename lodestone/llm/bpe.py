@@ -6,12 +6,12 @@ a line feed).  No piece crosses such a border (``Pieces`` checks its vocabulary
 that), so each chunk merges on its own and equal chunks give equal ids.  A table
 holds the distinct chunks met so far; the missing ones of a batch are segmented
 together: in each round every chunk applies its one best pair - best score, then
-leftmost - which is the order in which the library's queue pops them.
+leftmost - which is the order in which the library's queue pops them.  A chunk of over
+512 characters has rounds of its own, each of which merges all places of its best pair.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from functools import lru_cache
 
@@ -19,6 +19,7 @@ import numpy as np
 
 _NONE = np.int64(1) << 62
 _LONG = 512
+_BLOCK = 1024
 
 
 def path_of(name_or_path: str) -> str:
@@ -141,7 +142,7 @@ class Pieces:
         short = []
         for k, chunk in enumerate(chunks):
             if len(chunk) > _LONG:
-                out[k] = self._ids(self._merge_long(self._symbols(chunk).tolist()))
+                out[k] = self._ids(self._merge_long(self._symbols(chunk)))
             else:
                 short.append(k)
         short.sort(key=lambda k: len(chunks[k]))  # chunks of like length finish together
@@ -188,32 +189,43 @@ class Pieces:
                 rank[changed], merged[changed] = pairs(changed)
         return done
 
-    def _merge_long(self, sym: list[int]) -> list[int]:
-        """One very long sequence: the same merges from a heap, n log n."""
+    def _merge_long(self, sym: np.ndarray) -> list[int]:
+        """One very long sequence, rank by rank: a round merges all places of the lowest rank at once.
+
+        Places are linked, not moved, and the lowest rank is found over blocks, so a round costs what it
+        changes.  Places that overlap go by turns from the left.  A merge that forms a pair of the same or
+        a lower rank ends its round, as that pair comes before the places further right.
+        """
         n = len(sym)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        get = self.merges.get
-        heap = []
-
-        def push(a: int) -> None:
-            b = after[a]
-            if b < n and sym[a] >= 0 and sym[b] >= 0 and (m := get((sym[a] << 20) | sym[b])):
-                heapq.heappush(heap, (m[0], a, sym[a], b, sym[b], m[1]))
-
-        for a in range(n):
-            push(a)
-        while heap:
-            _, a, x, b, y, piece = heapq.heappop(heap)
-            if not (alive[a] and b < n and alive[b]) or after[a] != b or sym[a] != x or sym[b] != y:
-                continue
-            sym[a], alive[b] = piece, False
-            after[a] = after[b]
-            if after[b] < n:
-                before[after[b]] = a
-            push(a)
-            if before[a] >= 0:
-                push(before[a])
-        return [s for s, there in zip(sym, alive) if there]
+        sym, after, before = sym.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank, merged = np.full(-(-n // _BLOCK) * _BLOCK, _NONE), np.zeros(n, np.int64)
+        rank[: n - 1], merged[: n - 1] = self.look_up(sym[:-1], sym[1:])
+        blocks, alive = rank.reshape(-1, _BLOCK), np.ones(n, bool)
+        least = blocks.min(1)
+        while (lowest := least.min()) != _NONE:
+            rows = np.flatnonzero(least == lowest)
+            row, col = np.nonzero(blocks[rows] == lowest)
+            at = rows[row] * _BLOCK + col
+            k = np.arange(len(at))
+            apart = np.concatenate([[True], after[at[:-1]] != at[1:]])
+            at = at[(k - np.maximum.accumulate(np.where(apart, k, 0))) % 2 == 0]
+            right = after[at]
+            left, beyond, new = before[at], after[right], merged[at]
+            left_sym = np.where(left >= 0, sym[left], -1)
+            touching = np.flatnonzero(left[1:] == right[:-1]) + 1  # the place before is merged by now
+            left[touching], left_sym[touching] = at[touching - 1], new[touching - 1]
+            rank_l, merged_l = self.look_up(left_sym, new)
+            rank_r, merged_r = self.look_up(new, np.where(beyond < n, sym[np.minimum(beyond, n - 1)], -1))
+            sooner = np.flatnonzero((rank_l <= lowest) | (rank_r <= lowest))
+            to = sooner[0] + 1 if len(sooner) else len(at)
+            at, right, left, beyond = at[:to], right[:to], left[:to], beyond[:to]
+            sym[at], after[at], alive[right], rank[right] = new[:to], beyond, False, _NONE
+            before[beyond[beyond < n]] = at[beyond < n]
+            rank[at], merged[at] = rank_r[:to], merged_r[:to]
+            rank[left[left >= 0]], merged[left[left >= 0]] = rank_l[:to][left >= 0], merged_l[:to][left >= 0]
+            changed = np.unique(np.concatenate([at, right, left[left >= 0]]) // _BLOCK)
+            least[changed] = blocks[changed].min(1)
+        return sym[alive].tolist()
 
 
 @lru_cache(2)

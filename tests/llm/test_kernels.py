@@ -205,6 +205,19 @@ def test_long_sequences_equal_the_library(library):
     assert own_ids(texts) == library.encode(texts)
 
 
+@pytest.mark.parametrize("letters", ["ab", "a", "abc", "etaoinshrdlu", "0123456789", "日本語中文a", "-=_.", "héllöß"])
+def test_rounds_of_long_sequences_equal_the_library(library, letters):
+    """All places of the lowest rank at once are the library's one merge at a time, overlaps and all."""
+    rng = np.random.default_rng(len(letters))
+    model = pieces("piece_bpe_32k.model")
+    for size in (513, 1024, 1025, 3001):
+        text = "".join(rng.choice(list(letters), size))
+        assert [i for ids in model.segment(model.chunks(text)) for i in ids] == library.encode(text)
+    for size in range(2, 12):  # short ones by the rounds of long ones, too
+        text = "".join(rng.choice(list(letters), size))
+        assert model._ids(model._merge_long(model._symbols(" " + text))) == library.encode(text)
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_signatures_keep_pairs_at_the_threshold(percent):
     """The exact binomial tail of dropping a true pair is under a fifth of that of missing every band."""
