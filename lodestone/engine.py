@@ -20,6 +20,9 @@ from .plans.keys import KeySet
 from .plans.logical import AND, Branch, Leaf, parse_logical
 from .plans.matchers import Matcher, Probes, compile_query
 
+#: The best rows of an indexed search are broadcast to the collection if the limit is at most so many.
+MOST_BROADCAST_ROWS = 10_000
+
 
 class Index:
     """The values of a collection (``ref_index, subs``) with their keys; see :mod:`lodestone.sources.index`."""
@@ -97,7 +100,7 @@ class SearchEngine:
             df = df.withColumn("ref_index", F.col(ref_index).cast("long"))
         elif "ref_index" not in df.columns:
             df = dense_index(df, *self.order_by)
-        self.docs, self._given, self._rows = df, index, None
+        self.docs, self._given, self._rows, self._values = df, index, None, None
         # Weights are looked up by id; keys that this engine does not know keep theirs.
         self._active = self.keys if index is None else index.keys.reweighted(self.keys)
 
@@ -110,13 +113,23 @@ class SearchEngine:
         """The collection with ``ref_index`` and ``subs``."""
         if self._rows is None:
             if self._given is not None:
-                values = self._given.rows.select(F.col("ref_index").alias("__ref"), F.col("subs").alias("__raw"))
-                joined = self.docs.join(values, F.col("ref_index") == F.col("__ref")).drop("__ref")
-                self._rows = fold_subs(joined, self.options, norm=lambda x: x["norm"])  # the index may be folded otherwise
+                values = self.values.select(F.col("ref_index").alias("__ref"), F.col("subs").alias("__subs"))
+                joined = self.docs.join(values, F.col("ref_index") == F.col("__ref"))
+                self._rows = joined.withColumn("subs", F.col("__subs")).drop("__ref", "__subs")
             else:
                 self._rows = with_subs(self.docs, self.keys, self.text, self.options)
         return self._rows
 
+    @property
+    def values(self) -> DataFrame:
+        """``ref_index`` and ``subs``; of a given index alone, without the collection."""
+        if self._given is None or self._rows is not None and self._rows.is_cached:
+            return self.rows
+        if self._values is None:
+            raw = self._given.rows.select("ref_index", F.col("subs").alias("__raw"))
+            self._values = fold_subs(raw, self.options, norm=lambda x: x["norm"])  # the index may be folded otherwise
+        return self._values
+
     def persist(self) -> SearchEngine:
         self._rows = self.rows.persist()
         return self
@@ -162,15 +175,15 @@ class SearchEngine:
         return old.filter(gone)
 
     def _change(self, docs: DataFrame) -> None:
-        self.docs, self._given, self._rows, self._active = docs, None, None, self.keys
+        self.docs, self._given, self._rows, self._values, self._active = docs, None, None, None, self.keys
 
     # Searching
 
     def statistics(self, terms: list[str]) -> tuple[int, dict[str, int]]:
-        return tokens.statistics(self.rows, self.options, terms)
+        return tokens.statistics(self.values, self.options, terms)
 
     def document_frequencies(self) -> DataFrame:
-        return tokens.document_frequencies(self.rows, self.options)
+        return tokens.document_frequencies(self.values, self.options)
 
     def compile(self, query: str, probes: Probes) -> Matcher:
         return compile_query(query, self.options, probes, self.statistics)
@@ -178,15 +191,22 @@ class SearchEngine:
     def search(self, query: str | Mapping[str, Any], limit: int = -1) -> DataFrame:
         """The matching rows with ``ref_index``, in order; with ``score`` and ``matches`` as options say.
 
-        A blank string returns the whole collection unscored.  limit below 0: all.
+        A blank string returns the whole collection unscored.  limit below 0: all.  With a given index
+        the best ``limit`` rows are those of the index; the collection is joined to them only.
         """
         if isinstance(query, str):
             if not query.strip():
                 return self._show(self.docs.withColumn("__hits", F.array().cast(f"array<{HIT}>")).withColumn("score", F.lit(None).cast("double")), limit, scored=False)
-            return self._show(self.scored(self.rows, query), limit)
-        if not FEATURES["logical"]:
+        elif not FEATURES["logical"]:
             raise FeatureUnavailable("Logical search is not available")
-        return self._show(self._logical(query), limit)
+        found = (lambda rows: self.scored(rows, query)) if isinstance(query, str) else (lambda rows: self._logical(rows, query))
+        if self._given is None or limit < 0 or self.options.sort_fn:
+            return self._show(found(self.rows), limit)
+        order = ["score", "ref_index"] if self.options.should_sort else ["ref_index"]
+        best = found(self.values).orderBy(*order).limit(limit).select(F.col("ref_index").alias("__ref"), "__hits", F.col("score").alias("__score"))
+        best = F.broadcast(best) if limit <= MOST_BROADCAST_ROWS else best
+        joined = self.docs.join(best, F.col("ref_index") == F.col("__ref"))
+        return self._show(joined.withColumn("score", F.col("__score")).drop("__ref", "__score"), -1)
 
     def scored(self, rows: DataFrame, query: str) -> DataFrame:
         """Matching ``rows`` (of any DataFrame with ``subs``, streams included) with ``__hits`` and ``score``."""
@@ -202,7 +222,7 @@ class SearchEngine:
         rows = _kept(rows, hits, lambda h: passes_gates(matcher, h, self._active, self.strings))
         return rows.withColumn("score", row_score(F.col("__hits"), self._active, self.options))
 
-    def _logical(self, query: Mapping[str, Any]) -> DataFrame:
+    def _logical(self, rows: DataFrame, query: Mapping[str, Any]) -> DataFrame:
         tree, probes, leaves = parse_logical(query), Probes(), []
 
         def compiled(node: Leaf | Branch):
@@ -212,7 +232,7 @@ class SearchEngine:
             return Branch(node.operator, [compiled(c) for c in node.children])
 
         plan = compiled(tree)
-        rows = _probed(self.rows if not self.strings else self.rows.filter(F.lit(False)), probes)
+        rows = _probed(rows if not self.strings else rows.filter(F.lit(False)), probes)
         none = F.array().cast(f"array<{HIT}>")
         for k, (matcher, key) in enumerate(leaves):
             at = None if key is None else self._active.index_of(key)

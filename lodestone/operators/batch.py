@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..engine import SearchEngine
 from ..functions.bitap import ScanOptions, match_all
 from ..functions.text import fold_literal
+from ..options import SearchOptions
 from ..plans.matchers import idf_of, tokens_of
 from .score import HIT, row_score
 from .values import folded
@@ -84,7 +85,7 @@ def _probe(scorer: _Scorer, every: bool):
     return probe.asNondeterministic()
 
 
-def _block_hits(engine: SearchEngine, block: list[tuple]) -> DataFrame:
+def block_hits(engine: SearchEngine, block: list[tuple]) -> DataFrame:
     """``qid, ref_index, score`` of a block of (qid, query, terms)."""
     o = engine.options
     if o.use_token_search:
@@ -92,12 +93,12 @@ def _block_hits(engine: SearchEngine, block: list[tuple]) -> DataFrame:
         fields, holding = engine.statistics(sorted({t for terms in split for t in terms}))
         fold = [[fold_literal(t, o) for t in terms] for terms in split]
         compiled = [(f, [idf_of(fields, holding.get(t, 0)) for t in terms]) for f, terms in zip(fold, split)]
-        scan = ScanOptions.of(o, ignore_location=True, include_matches=False)
+        scan = ScanOptions.of(o, ignore_location=True)
     else:
         compiled = [([fold_literal(q, o)], [1.0]) for _, q, _ in block]
-        scan = ScanOptions.of(o, include_matches=False)
+        scan = ScanOptions.of(o)  # matches without ranges are none, as in a single search
     probe = _probe(_Scorer(compiled, scan, o.use_token_search), o.use_token_search and o.token_match == "all")
-    rows = engine.rows.select("ref_index", "subs", F.explode(probe(F.transform("subs", lambda s: s["u"]))).alias("f"))
+    rows = engine.values.select("ref_index", "subs", F.explode(probe(F.transform("subs", lambda s: s["u"]))).alias("f"))
     hit = lambda h: F.struct(
         F.get("subs", h["i"])["key_idx"].alias("key_idx"),
         F.get("subs", h["i"])["arr_idx"].alias("arr_idx"),
@@ -113,6 +114,21 @@ def _block_hits(engine: SearchEngine, block: list[tuple]) -> DataFrame:
     return rows.select(F.get(ids, F.col("f.q")).alias("qid"), "ref_index", row_score(hits, engine._active, o).alias("score"))
 
 
+def _with_terms(queries: DataFrame, options: SearchOptions) -> DataFrame:
+    """With ``terms`` of each ``query``, analysed as the values are; null unless tokens are searched."""
+    if not options.use_token_search:
+        return queries.withColumn("terms", F.lit(None))
+    return queries.withColumn("terms", tokens_of(F.get(folded(F.array("query"), options), F.lit(0)), options))
+
+
+def query_terms(spark: SparkSession, options: SearchOptions, queries: Sequence[str]) -> list[list[str] | None]:
+    """Terms of each query, from one small job; None unless tokens are searched."""
+    if not options.use_token_search:
+        return [None] * len(queries)
+    asked = spark.createDataFrame(list(enumerate(queries)), "n int, query string")
+    return [r.terms for r in _with_terms(asked, options).orderBy("n").collect()]
+
+
 def search_many(engine: SearchEngine, queries: DataFrame, limit: int = -1, qid: str = "qid", query: str = "query") -> DataFrame:
     """``qid, ref_index, score, rank`` of every query's best rows (all matches if ``limit`` is below 0).
 
@@ -121,11 +137,7 @@ def search_many(engine: SearchEngine, queries: DataFrame, limit: int = -1, qid:
     """
     spark = queries.sparkSession
     wanted = queries.select(F.col(qid).alias("qid"), F.col(query).alias("query")).filter(F.btrim("query") != "").distinct()
-    if engine.options.use_token_search:  # one job analyses all queries, as the values were
-        folded_query = F.get(folded(F.array("query"), engine.options), F.lit(0))
-        wanted = wanted.withColumn("terms", tokens_of(folded_query, engine.options))
-    else:
-        wanted = wanted.withColumn("terms", F.lit(None))
+    wanted = _with_terms(wanted, engine.options)
     found = None
     block: list[tuple] = []
 
@@ -136,7 +148,7 @@ def search_many(engine: SearchEngine, queries: DataFrame, limit: int = -1, qid:
         if engine.options.use_extended_search:
             parts = [engine.scored(engine.rows, q).select(F.lit(i).alias("qid"), "ref_index", "score") for i, q, _ in block]
         else:
-            parts = [_block_hits(engine, block)]
+            parts = [block_hits(engine, block)]
         for p in parts:
             found = p if found is None else found.unionByName(p)
         block = []

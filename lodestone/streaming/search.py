@@ -9,12 +9,14 @@ records are tombstones, left out when results are read.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..engine import SearchEngine
+from ..operators.batch import BLOCK, block_hits, query_terms
 from ..operators.tokens import document_frequencies, merged_frequencies
 from ..options import SearchOptions
 
@@ -56,14 +58,22 @@ def standing_queries(
     most_score: float | None = None,
     frequencies: tuple[int, DataFrame] | None = None,
 ) -> DataFrame:
-    """``qid, ref_index, score`` of every record and standing query that match (score at most ``most_score``)."""
+    """``qid, ref_index, score`` of every record and standing query that match (score at most ``most_score``).
+
+    Plain and token queries are scored together, BLOCK of them in one pass of the stream; an operator
+    query, which is mostly native, takes a pass of its own.  Blank queries match nothing.
+    """
     engine = _engine(stream, options, ref_index, text, frequencies)
-    found = None
-    for qid, query in queries:
-        own = engine.scored(engine.rows, query).select(F.lit(qid).alias("qid"), "ref_index", "score")
-        found = own if found is None else found.unionByName(own)
-    if found is None:
+    asked = [(qid, query) for qid, query in queries if query.strip()]
+    if not asked:
         raise ValueError("no standing queries")
+    if engine.options.use_extended_search:
+        parts = [engine.scored(engine.rows, query).select(F.lit(qid).alias("qid"), "ref_index", "score") for qid, query in asked]
+    else:
+        terms = query_terms(stream.sparkSession, engine.options, [query for _, query in asked])
+        blocks = [(qid, query, own) for (qid, query), own in zip(asked, terms)]
+        parts = [block_hits(engine, blocks[k : k + BLOCK]) for k in range(0, len(blocks), BLOCK)]
+    found = reduce(DataFrame.unionByName, parts)
     return found if most_score is None else found.filter(F.col("score") <= most_score)
 
 

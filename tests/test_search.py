@@ -410,3 +410,30 @@ def test_functional_forms(spark):
     assert [r.ref_index for r in rows][0] == 2
     with pytest.raises(ValueError):
         ordered_on_driver(fuzzy_search(docs, "appl", text="text"), lambda a, b: 0, most=1)
+
+
+@pytest.mark.parametrize("options", [{}, {"use_token_search": True}, {"use_extended_search": True}])
+def test_standing_queries_are_searches(spark, options):
+    from lodestone.streaming.search import standing_queries
+
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["red apple", "green aple", "old man", "apple pie", None, ""])], "ref_index long, a string")
+    asked = [(7, "apple"), (8, " "), (9, "old mna"), (10, "apple red")]
+    found = standing_queries(docs, asked, {"keys": ["a"], **options}, frequencies=(4, SearchEngine(docs, ref_index="ref_index", keys=["a"], use_token_search=True).document_frequencies()))
+    engine = SearchEngine(docs, ref_index="ref_index", keys=["a"], include_score=True, **options)
+    wanted = {(q, r.ref_index, round(r.score, 9)) for q, text in asked if text.strip() for r in engine.search(text).collect()}
+    assert {(r.qid, r.ref_index, round(r.score, 9)) for r in found.collect()} == wanted and wanted
+    if not options.get("use_extended_search"):  # one pass, however many queries
+        assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_indexed_search_joins_the_best_rows_only(spark):
+    docs = spark.createDataFrame([(k, f"item {k % 7}", 1.5, "x") for k in range(40)], "ref_index long, a string, score double, subs string")
+    index = create_index(docs.select("ref_index", "a"), ["a"])
+    whole = SearchEngine(docs.drop("score", "subs"), ref_index="ref_index", keys=["a"], include_score=True)
+    for query in ("itm 3", {"$and": [{"a": "item"}, {"a": "5"}]}):
+        engine = SearchEngine(docs, ref_index="ref_index", keys=["a"], include_score=True, index=index)
+        best = engine.search(query, 4)
+        assert [(r.ref_index, r.a) for r in best.collect()] == [(r.ref_index, r.a) for r in whole.search(query, 4).collect()]
+        plan = best._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join") < plan.index("GlobalLimit") and plan.count("Join") == 1  # the limit lies below the join
+    assert engine.search("itm 3").count() == whole.search("itm 3").count()
