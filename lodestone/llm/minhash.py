@@ -184,13 +184,51 @@ def candidates_in(signs: np.ndarray, sizes: np.ndarray, groups: np.ndarray, para
 def links_in(ids: np.ndarray, signs: np.ndarray, sets: list[np.ndarray], params: MinHashParams, groups: np.ndarray | None = None):
     """Links that connect what the true links of one group connect; ``groups`` are connected already."""
     groups = np.arange(len(ids)) if groups is None else np.unique(groups, return_inverse=True)[1]
-    for i, rest in candidates_in(signs, np.array([len(s) for s in sets]), groups, params):
+    sizes, held = np.array([len(s) for s in sets]), None
+    for i, rest in candidates_in(signs, sizes, groups, params):
+        if len(rest) >= _MANY and held is None:
+            held = Holders(sets)
+        if len(rest) < _MANY or held.cost(i) > _PAIR * len(rest) * len(sets[i]):
+            rest = (j for j in rest if groups[j] != groups[i] and linked(sets[i], sets[j], params))
+        else:
+            both = held.shared(i)[rest]
+            rest = rest[(both > 0) & (100 * both >= params.percent * (sizes[i] + sizes[rest] - both))]
         for j in rest:  # groups grow while this runs, and stay flat
-            if groups[j] != groups[i] and linked(sets[i], sets[j], params):
+            if groups[j] != groups[i]:
                 yield min(ids[i], ids[j]), max(ids[i], ids[j])
                 groups[groups == groups[j]] = groups[i]
 
 
+#: From so many candidates on one count over a set's holders is weighed against merging pair by pair,
+#: which costs about so many steps for each of the set's shingles.  Both give the same links.
+_MANY, _PAIR = 16, 4
+
+
+class Holders:
+    """The sets that hold each shingle of a group, to count what one set shares with all others at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.ends = np.cumsum([0, *(len(s) for s in sets)])
+        self.codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        self.owners = np.repeat(np.arange(len(sets)), np.diff(self.ends))[np.argsort(self.codes, kind="stable")]
+        self.first = np.cumsum([0, *np.bincount(self.codes)])
+
+    def _codes(self, i: int) -> np.ndarray:
+        return self.codes[self.ends[i] : self.ends[i + 1]]
+
+    def cost(self, i: int) -> int:
+        """Holders of the shingles of set ``i``, counted with repeats."""
+        own = self._codes(i)
+        return int((self.first[own + 1] - self.first[own]).sum())
+
+    def shared(self, i: int) -> np.ndarray:
+        """How many shingles each set has in common with set ``i``."""
+        own = self._codes(i)
+        many = self.first[own + 1] - self.first[own]
+        shift = self.first[own] - np.cumsum([0, *many[:-1]])
+        return np.bincount(self.owners[np.repeat(shift, many) + np.arange(many.sum())], minlength=len(self.ends) - 1)
+
+
 def _agree(params: MinHashParams):
     @F.arrow_udf("boolean")
     def agree(a: pa.Array, b: pa.Array) -> pa.Array:

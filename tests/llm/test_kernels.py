@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 
 from lodestone.llm.bpe import ChunkTable, pieces
 from lodestone.llm.media import MediaError, box, full_box, pad, read_tracks, samples_of, walk, write_track
-from lodestone.llm.minhash import MinHashParams, links_in, shingle_sets, signatures
+from lodestone.llm.minhash import Holders, MinHashParams, linked, links_in, shingle_sets, signatures
 from lodestone.llm.substrings import SubstringParams, anchors_of
 from lodestone.llm.urls import PLAIN, SEEDS, Segmenter
 from lodestone.llm.words import shapes_of, windows, words_of
@@ -73,6 +73,27 @@ def test_links_join_what_brute_force_joins(docs, size):
     assert classes(got, ids) == classes(true, ids)
 
 
+@pytest.mark.parametrize("keep", [0.85, 0.93, 0.97])
+def test_links_of_a_large_group_are_those_of_all_pairs(keep):
+    """Many near copies around the threshold: counting over holders gives what merging pairs gives."""
+    rng = np.random.default_rng(int(100 * keep))
+    base, params = rng.integers(0, 1 << 63, 120).astype(np.uint64), MinHashParams(shingle=3, percent=85)
+    sets = [np.empty(0, np.uint64)] * 20
+    for _ in range(150):
+        changed, own = rng.random(len(base)) > keep, base.copy()
+        own[changed] = rng.integers(0, 1 << 63, changed.sum())
+        sets.append(np.unique(own))
+    signs, ids = signatures(sets, params), np.arange(len(sets))
+    holders = Holders(sets)
+    for i in (0, 19, 20, 169):
+        assert holders.shared(i).tolist() == [len(np.intersect1d(sets[i], s)) for s in sets]
+    alike = lambda i, j: (signs[i] == signs[j]).mean() >= params.least_agreement
+    true = {(j, i) for i in range(len(sets)) for j in range(i) if linked(sets[j], sets[i], params) and alike(i, j)}
+    got = set(links_in(ids, signs, sets, params))
+    assert got <= true
+    assert classes(got, ids.tolist()) == classes(true, ids.tolist())
+
+
 def classes(links, ids):
     up = {i: i for i in ids}
 
