@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,17 @@ def test_exact_state_over_calls(spark, tmp_path, from_files, colliding):
         assert sorted(map(tuple, got.collect()), key=str) == sorted(wanted, key=str), n
 
 
+def test_exact_closes_its_stores(spark, docs):
+    """Stores live outside the heap; those of a finished call are not kept."""
+    loaded = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.execution.streaming.state.StateStore$")
+    field = next(f for f in loaded.getDeclaredFields() if f.getName().endswith("loadedProviders"))
+    field.setAccessible(True)
+    stores = field.get(None)
+    before = stores.size()
+    exact_duplicates(docs).collect()
+    assert stores.size() <= before
+
+
 def test_exact_of_derived_text(spark, tmp_path):
     """A text made from the files' column is not looked up in the files."""
     spark.createDataFrame([(1, "A"), (2, "a"), (3, "b")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
@@ -542,3 +554,13 @@ def test_pipeline(spark, tmp_path):
     assert all(i in quality for i, q in labels.items() if q == 1)
     whole = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, DATA).collect()}
     assert whole == {i: r.ids_sha256 for i, r in encode.items()}
+
+
+def test_pipeline_bounds_batches(spark):
+    """Long texts reach Python in batches of a few megabytes, and all of them do."""
+    docs = spark.range(0, 60, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 50000)").alias("text"))
+    found = corpus_pipeline.encode(spark, docs, DATA)
+    sizes = docs.mapInArrow(lambda it: (pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "size"]) for b in it), "rows long, size long").collect()
+    assert sum(r.rows for r in sizes) == 60
+    assert max(r.size for r in sizes) <= 6 << 20
+    assert found.count() == 60
